@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skeinlab.llm import bpe, components, packing, percentiles, segmentation
+from skeinlab.llm import bpe, components, overlaps, packing, percentiles, segmentation
 from skeinlab.runtime import read_table
 
 
@@ -16,6 +16,14 @@ def p3_splits(spark, d):
     return components.assign_splits(read_table(spark, d, "comments"))
 
 
+def p4_found(spark, d):
+    return overlaps.overlap_pairs(overlaps.split_overlaps(read_table(spark, d, "comments"), read_table(spark, d, "splits")))
+
+
+def p4_counts(spark, d):
+    return overlaps.overlap_counts(overlaps.split_overlaps(read_table(spark, d, "comments"), read_table(spark, d, "splits")))
+
+
 def p6_percentiles(spark, d):
     found = percentiles.percentiles(percentiles.value_counts(read_table(spark, d, "thread_metrics_summary")))
     return found.select("model", "product_category", "metric", "n", *[(F.round(f"p{p}", 6) + 0.0).alias(f"p{p}") for p in percentiles.PERCENTS], "max_error")
@@ -39,7 +47,7 @@ def p9_pieces(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p3_found, p3_splits, p6_percentiles, p7_ids, p7_decoded, p8_containers, p9_pieces)}
+    return {f.__name__: f for f in (p3_found, p3_splits, p4_found, p4_counts, p6_percentiles, p7_ids, p7_decoded, p8_containers, p9_pieces)}
 
 
 _P3 = """
