@@ -56,7 +56,7 @@ class Scratch:
     def write(self, df: DataFrame) -> str:
         self.step += 1
         path = f"{self.root}/{self.step}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return path
 
     def cut(self, df: DataFrame) -> DataFrame:
