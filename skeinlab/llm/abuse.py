@@ -19,12 +19,14 @@ LABELS = 20_000
 #: Tokens of a window, and from one window to the next; every token is in one or two windows.
 WINDOW, STRIDE = 24, 16
 WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN = 4096, 4096, 16, 16
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 #: Models of a committee; below CLEAR the first alone decides.
 MEMBERS = 5
 CLEAR = 0.03
 #: Crops of each harmless text in an epoch.
 CROPS = 3
+#: Least score of the sentence of a longer abusive text that is taken for what makes it abusive.
+PICKED = 0.7
 
 # Letters of other scripts, and digits and signs, that stand for Latin letters.
 LOOKALIKES = {
@@ -350,7 +352,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = 24,
             parts = sentences(text)
             scores = first.score(parts)
             best = int(np.argmax(scores))
-            if scores[best] >= 0.3:
+            if scores[best] >= PICKED:
                 picked.append((tokens(parts[best])[:WINDOW], 1))
                 rest = [v for k, s in enumerate(parts) if k != best and scores[k] < 0.3 for v in tokens(s)]
                 if len(rest) > WINDOW:

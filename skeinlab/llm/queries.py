@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skeinlab.llm import bpe, components, overlaps, packing, percentiles, segmentation
+from skeinlab.llm import abuse, bpe, components, overlaps, packing, percentiles, segmentation
 from skeinlab.runtime import read_table
 
 
@@ -24,6 +24,22 @@ def p4_counts(spark, d):
     return overlaps.overlap_counts(overlaps.split_overlaps(read_table(spark, d, "comments"), read_table(spark, d, "splits")))
 
 
+def _abuse_scores(spark, d):
+    return abuse.score_texts(*[read_table(spark, d, n) for n in ("comments", "example_thread_format", "abuse_labels")])
+
+
+def p5_found(spark, d):
+    return abuse.abusive_records(_abuse_scores(spark, d))
+
+
+def p5_scores(spark, d):
+    return _abuse_scores(spark, d).groupBy("table_name", "record_id").agg(F.round(F.max("score"), 4).alias("score"))
+
+
+def p5_rates(spark, d):
+    return abuse.abuse_rates(_abuse_scores(spark, d))
+
+
 def p6_percentiles(spark, d):
     found = percentiles.percentiles(percentiles.value_counts(read_table(spark, d, "thread_metrics_summary")))
     return found.select("model", "product_category", "metric", "n", *[(F.round(f"p{p}", 6) + 0.0).alias(f"p{p}") for p in percentiles.PERCENTS], "max_error")
@@ -47,7 +63,7 @@ def p9_pieces(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p3_found, p3_splits, p4_found, p4_counts, p6_percentiles, p7_ids, p7_decoded, p8_containers, p9_pieces)}
+    return {f.__name__: f for f in (p3_found, p3_splits, p4_found, p4_counts, p5_found, p5_scores, p5_rates, p6_percentiles, p7_ids, p7_decoded, p8_containers, p9_pieces)}
 
 
 _P3 = """
