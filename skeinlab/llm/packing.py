@@ -17,7 +17,7 @@ SEGMENTS = 256
 CONTEXT_KINDS = ("log", "product_page")
 #: Items packed together by one task.
 GROUP_ITEMS = 20_000
-#: Containers filled less than this are opened again and packed with those of other groups.
+#: A group's last containers filled less than this are opened again and packed with those of other groups.
 FULL = 0.98
 
 ITEM = "item string, part int, start_token long, n_tokens long, loss_tokens long"
@@ -59,9 +59,9 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, segments: int = SEGME
     """container, item, part, start_token, n_tokens, loss_tokens, offset for items (item, n_tokens, loss_tokens).
 
     An item longer than capacity is cut into full parts and a rest; no other is split. Items are spread by hash over
-    groups of about group_items, each packed by one task under all three limits; containers that end less than FULL
-    are opened and their items packed again in fewer groups, until one group is left. So the unused space doesn't grow
-    with the number of groups. Items of no tokens are in no container: container and offset are null.
+    groups of about group_items, each packed by one task under all three limits. The last containers of a group, which
+    end less than FULL, are opened and their items, at most a quarter of the group's, packed again in fewer groups,
+    until one group is left. So the unused space doesn't grow with the number of groups. Items of no tokens are in no container: container and offset are null.
     """
     spark = items.sparkSession
     scratch = Scratch(spark, "packing")
@@ -86,9 +86,10 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, segments: int = SEGME
         pdf = pdf.sort_values(["n_tokens", "item", "part"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         demands = np.column_stack([pdf.n_tokens, pdf.loss_tokens, np.ones(len(pdf), dtype=np.int64)]).astype(np.int64)
         pdf["number"] = fill(demands, limits)
-        total = pdf.groupby("number").n_tokens.transform("sum")
+        number = pdf.groupby("number").n_tokens.agg(["sum", "size"]).sort_index(ascending=False)
+        loose = number.index[(number["size"].cumsum() <= group_items // 4) & (number["sum"] < FULL * capacity)]
         pdf["offset"] = pdf.groupby("number").n_tokens.cumsum() - pdf.n_tokens
-        pdf["is_open"] = total < FULL * capacity
+        pdf["is_open"] = pdf.number.isin(loose)
         pdf["container"] = [f"{key[1]}-{key[0]}-{n}" for n in pdf.number]
         return pdf[["container", "item", "part", "start_token", "n_tokens", "loss_tokens", "offset", "is_open"]]
 
