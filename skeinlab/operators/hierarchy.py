@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinlab.runtime import Scratch, clean_id, ref_id, ref_type, salted_join
+from skeinlab.runtime import HOT_ROWS, Scratch, clean_id, ref_id, ref_type, salted_join
 
 ACTIVE, RAKED, SPLICED = 0, 1, 2
 
@@ -56,7 +56,7 @@ def contract(nodes: DataFrame, with_paths: bool = False, scratch: Scratch | None
         "comment_id", F.lit(0).alias("depth"), F.col("post").alias("root"), F.lit("tree").alias("state"), *([via.alias("path")] if with_paths else [])
     )
     active = nodes.where("parent is not null").select(F.col("comment_id").alias("v"), F.col("parent").alias("p"), F.lit(1).alias("w"), *([via.alias("via")] if with_paths else []))
-    record_paths: list[str] = []
+    record_paths: list[tuple[str, int]] = []
     turn = 0
     schema = None
     while True:
@@ -74,7 +74,7 @@ def contract(nodes: DataFrame, with_paths: bool = False, scratch: Scratch | None
         path = scratch.write(out)
         written = scratch.read(path, schema)
         sizes = {r[0]: r[1] for r in written.groupBy("removed").count().collect()}
-        record_paths.append(path)
+        record_paths.append((path, sizes.get(RAKED, 0) + sizes.get(SPLICED, 0)))
         active = written.where(F.col("removed") == ACTIVE).select("v", "p", "w", *(["via"] if with_paths else []))
         if not sizes.get(ACTIVE) or not (sizes.get(RAKED) or sizes.get(SPLICED)):
             break
@@ -82,10 +82,10 @@ def contract(nodes: DataFrame, with_paths: bool = False, scratch: Scratch | None
     core = active.select(F.col("v").alias("comment_id"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("string").alias("root"), F.lit("cycle").alias("state"), *([F.lit(None).cast(via_type).alias("path")] if with_paths else []))
     parts = [scratch.write(top), *([scratch.write(core)] if loops else [])]
     out_schema = top.schema
-    for path in reversed(record_paths):
+    for path, removed in reversed(record_paths):
         gone = scratch.read(path, schema).where(F.col("removed") != ACTIVE)
         solved = scratch.read(parts, out_schema)
-        at = salted_join(gone, solved.withColumnRenamed("comment_id", "p"), "p", "inner")
+        at = salted_join(gone, solved.withColumnRenamed("comment_id", "p"), "p", "inner", [] if removed < HOT_ROWS else None)
         state = F.when(F.col("state") == "tree", "tree").otherwise("below_cycle")
         if loops:  # a spliced node is on the loop if the child it stood above is
             on_loop = solved.where("state = 'cycle'").select(F.col("comment_id").alias("child"), F.lit(True).alias("on_loop"))
