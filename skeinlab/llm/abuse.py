@@ -399,7 +399,8 @@ def score_texts(comments: DataFrame, generated: DataFrame, labels: DataFrame, mo
     spark = comments.sparkSession
     model = model or train_on(labels)
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    record = F.when(F.col("comment_id").isNull(), F.concat_ws("/", F.trim("run_id"), key("post_id"))).otherwise(F.concat_ws("/", F.trim("run_id"), key("post_id"), key("comment_id")))
+    run = F.coalesce(clean_id("run_id"), F.lit(""))
+    record = F.when(F.col("comment_id").isNull(), F.concat_ws("/", run, key("post_id"))).otherwise(F.concat_ws("/", run, key("post_id"), key("comment_id")))
     texts = comments.select(F.lit("comments").alias("table_name"), clean_id("comment_id").alias("record_id"), F.col("subreddit").alias("source"), F.col("body").alias("text")).unionByName(
         generated.select(F.lit("example_thread_format").alias("table_name"), record.alias("record_id"), F.col("model").alias("source"), F.col("content").alias("text"))
     )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinlab.llm.words import WordHashes, words
-from skeinlab.runtime import Scratch, clean_id, fits_broadcast, hot_keys, lookup_join, salted_join
+from skeinlab.runtime import Scratch, clean_id, fits_broadcast, lookup_join, salted_join
 
 #: Least words of a record by field.
 LEAST_WORDS = {"body": 20, "post_title": 12}
@@ -210,8 +210,9 @@ def split_overlaps(comments: DataFrame, splits: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "overlaps")
     known = scratch.cut(clean_splits(splits))
     rows = comments.select(clean_id("post_id").alias("post_id"), clean_id("comment_id").alias("comment_id"), "post_title", "body", "subreddit")
-    bodies = rows.where("comment_id is not null and length(body) >= 39").select("post_id", F.lit("body").alias("field_name"), F.col("comment_id").alias("rec_id"), "subreddit", F.col("body").alias("text"))
-    titles = rows.where("length(post_title) >= 23").groupBy("post_id", "post_title").agg(F.min("subreddit").alias("subreddit")).select(
+    long_enough = lambda c, n: (F.length(c) >= n) | (F.octet_length(c) > F.length(c))  # noqa: E731  ASCII words take two characters each; other letters may fold to several words
+    bodies = rows.where(F.col("comment_id").isNotNull() & long_enough("body", 2 * LEAST_WORDS["body"] - 1)).select("post_id", F.lit("body").alias("field_name"), F.col("comment_id").alias("rec_id"), "subreddit", F.col("body").alias("text"))
+    titles = rows.where(long_enough("post_title", 2 * LEAST_WORDS["post_title"] - 1)).groupBy("post_id", "post_title").agg(F.min("subreddit").alias("subreddit")).select(
         "post_id", F.lit("post_title").alias("field_name"), F.col("post_id").alias("rec_id"), "subreddit", F.col("post_title").alias("text")
     )
     texts = lookup_join(bodies.unionByName(titles).where("post_id is not null"), known, "post_id", "inner")
@@ -246,27 +247,22 @@ def split_overlaps(comments: DataFrame, splits: DataFrame) -> DataFrame:
 def _in_blocks(suffixes: DataFrame) -> DataFrame:
     """Suffixes moved to their span's partition and sorted; those of popular spans in blocks of train and evaluation
     suffixes, every block of one side meeting every block of the other."""
-    hot = hot_keys(suffixes, "prefix", BLOCK, 1_000)
+    n = suffixes.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    popular = Scratch(suffixes.sparkSession, "popular").cut(n.select("prefix", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")))
     out = suffixes.withColumn("part", F.lit(0).cast("long"))
-    if hot:
-        names = suffixes.sparkSession.createDataFrame([(bytes(h),) for h in hot], "prefix binary")
-        sizes = scratch_counts(suffixes, names)
-        wide = suffixes.join(F.broadcast(sizes), "prefix", "left")
+    if not popular.isEmpty():
+        wide = lookup_join(suffixes, popular, "prefix", row_bytes=64)
         mine = F.pmod(F.xxhash64("class", "pos"), F.col("blocks"))
+        others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+        none = F.array().cast("array<long>")
         cells = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.concat(
-            F.when(F.col("is_train"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: mine * F.col("blocks") + x)).otherwise(F.array().cast("array<long>")),
-            F.when(F.col("is_eval"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x * F.col("blocks") + mine)).otherwise(F.array().cast("array<long>")),
+            F.when(F.col("is_train"), F.transform(others, lambda x: mine * F.col("blocks") + x)).otherwise(none),
+            F.when(F.col("is_eval"), F.transform(others, lambda x: x * F.col("blocks") + mine)).otherwise(none),
         )))
         out = wide.withColumn("part", F.explode(cells)).drop("blocks")
     return out.repartition("prefix", "part").sortWithinPartitions("prefix", "part", "tail")
 
 
-def scratch_counts(suffixes: DataFrame, names: DataFrame) -> DataFrame:
-    """Blocks per popular span (at most 1,000 rows)."""
-    n = suffixes.join(F.broadcast(names), "prefix", "left_semi").groupBy("prefix").agg(F.count("*").alias("n"))
-    return n.select("prefix", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
-
-
 def overlap_pairs(found: DataFrame) -> DataFrame:
     """field_name, id_a, id_b with id_a < id_b, each pair once."""
     return found.select("field_name", F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b")).distinct()
