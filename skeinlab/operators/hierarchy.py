@@ -89,7 +89,7 @@ def contract(nodes: DataFrame, with_paths: bool = False, scratch: Scratch | None
         state = F.when(F.col("state") == "tree", "tree").otherwise("below_cycle")
         if loops:  # a spliced node is on the loop if the child it stood above is
             on_loop = solved.where("state = 'cycle'").select(F.col("comment_id").alias("child"), F.lit(True).alias("on_loop"))
-            at = at.join(on_loop, "child", "left")
+            at = at.withColumn("child", F.coalesce("child", "v")).join(on_loop, "child", "left")  # no nulls that would meet in one task
             state = F.when(F.col("on_loop") & (F.col("removed") == SPLICED), "cycle").otherwise(state)
         full = [F.concat("path", F.array("p"), "via").alias("path")] if with_paths else []
         parts.append(scratch.write(at.select(F.col("v").alias("comment_id"), (F.col("depth") + F.col("w")).alias("depth"), "root", state.alias("state"), *full)))

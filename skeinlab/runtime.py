@@ -77,8 +77,8 @@ def fits_broadcast(rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> b
 
 
 def hot_keys(df: DataFrame, key: str, least: int = HOT_ROWS, most: int = HOT_KEYS) -> list:
-    """The keys with at least `least` rows among the `most` most frequent; counted with map-side combine, nulls aside."""
-    top = df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= least)
+    """The keys, null too, with at least `least` rows among the `most` most frequent; counted with map-side combine."""
+    top = df.groupBy(key).count().where(F.col("count") >= least)
     return [r[0] for r in top.orderBy(F.desc("count"), key).limit(most).collect()]
 
 
@@ -86,14 +86,17 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", h
     """big joined with small, unique by key, where a few keys may hold most rows of big.
 
     Rows of hot keys are spread over `salts` pieces, and only the matching rows of small are repeated as often, so no
-    task gets a whole hot key. The result has no duplicates beyond those of a plain join.
+    task gets a whole hot key; null keys, which match nothing, are spread likewise. The result has no duplicates beyond
+    those of a plain join.
     """
     hot = hot_keys(big, key) if hot is None else hot
     if not hot:
         return big.join(small, key, how)
-    is_hot = F.col(key).isin(hot)
+    named = [k for k in hot if k is not None]
+    is_hot = F.coalesce(F.col(key).isin(named), F.lit(False)) if named else F.lit(False)
+    spread_out = is_hot | F.col(key).isNull() if None in hot else is_hot
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int")
-    left = big.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
+    left = big.withColumn("_salt", F.when(spread_out, spread).otherwise(F.lit(0)))
     pieces = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = small.withColumn("_salt", F.explode(pieces))
     return left.join(right, [key, "_salt"], how).drop("_salt")

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from skeinlab.operators import hierarchy as H
-from skeinlab.runtime import salted_join
+from skeinlab.runtime import hot_keys, salted_join
 from tests.helpers import comments, posts
 
 
@@ -57,7 +57,10 @@ def test_descendants_and_empty(spark):
 
 
 def test_salted_join_equals_join(spark):
-    big = spark.createDataFrame([("hot", i) for i in range(500)] + [("cold", 1), (None, 2)], "k string, v int")
+    big = spark.createDataFrame([("hot", i) for i in range(500)] + [("cold", 1), (None, 2), (None, 3)], "k string, v int")
     small = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, w int")
     key = lambda r: tuple(str(x) for x in r)
-    assert sorted(salted_join(big, small, "k", hot=["hot"]).collect(), key=key) == sorted(big.join(small, "k", "left").collect(), key=key)
+    for hot in ([], ["hot"], ["hot", None], [None]):
+        for how in ("left", "inner"):
+            assert sorted(salted_join(big, small, "k", how, hot).collect(), key=key) == sorted(big.join(small, "k", how).collect(), key=key)
+    assert hot_keys(big, "k", 2, 9) == ["hot", None]
