@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from skeinlab.functions.metrics import GROUPS, SELECTION, dimension
 from skeinlab.operators import twosample as S
+from skeinlab.runtime import broadcast_if_small
 
 KEYS = ["domain", "model", "metric"]
 CLIP = 5.0
@@ -160,6 +161,6 @@ def latest(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def in_range(rows: DataFrame, value: str, ranges: DataFrame, default: str | None = None) -> DataFrame:
     """rows with the name of the range (name, first, last) their value lies in; a small table, default beyond it."""
-    r = F.broadcast(ranges)
+    r = broadcast_if_small(ranges)
     out = rows.join(r, F.col(value).between(F.col("first"), F.col("last")), "left").drop("first", "last")
     return out.withColumn("name", F.coalesce("name", F.lit(default))) if default else out

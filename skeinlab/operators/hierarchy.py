@@ -93,6 +93,7 @@ def contract(nodes: DataFrame, with_paths: bool = False, scratch: Scratch | None
             state = F.when(F.col("on_loop") & (F.col("removed") == SPLICED), "cycle").otherwise(state)
         full = [F.concat("path", F.array("p"), "via").alias("path")] if with_paths else []
         parts.append(scratch.write(at.select(F.col("v").alias("comment_id"), (F.col("depth") + F.col("w")).alias("depth"), "root", state.alias("state"), *full)))
+        scratch.drop(path)  # this round's records are solved
     return scratch.read(parts, out_schema)
 
 

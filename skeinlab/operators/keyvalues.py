@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinlab.runtime import broadcast_if_small
+
 
 def changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """keys, old_value, new_value of the keys whose value differs; a missing key has a null value."""
@@ -23,7 +25,7 @@ def invalid(rows: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
 
     allowed: key, required; a table of known small size.
     """
-    unknown = rows.join(F.broadcast(allowed), key, "left_anti").select(key, F.lit("unknown").alias("problem")).distinct()
+    unknown = rows.join(broadcast_if_small(allowed), key, "left_anti").select(key, F.lit("unknown").alias("problem")).distinct()
     filled = rows.where(F.trim(F.coalesce(F.col("value").cast("string"), F.lit(""))) != "")
     absent = allowed.where("required").join(filled.select(key).distinct(), key, "left_anti").select(key, F.lit("missing").alias("problem"))
     return unknown.unionByName(absent)

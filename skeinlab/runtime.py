@@ -102,6 +102,11 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", h
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def broadcast_if_small(df: DataFrame, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its counted rows fit the limit, else as it is."""
+    return F.broadcast(df) if fits_broadcast(df.count(), row_bytes, limit) else df
+
+
 def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
     """big joined with small, unique by key: broadcast if small's counted rows fit the limit, else salted."""
     if fits_broadcast(small.count(), row_bytes, limit):
