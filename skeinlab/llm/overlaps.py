@@ -1,4 +1,4 @@
-"""Same or near-same records across splits, by shared spans in a partitioned suffix array."""
+"""Same or near-same records across splits, by sets of their rarest words."""
 
 from __future__ import annotations
 
@@ -17,20 +17,28 @@ from skeinlab.runtime import Scratch, clean_id, fits_broadcast, lookup_join, sal
 LEAST_WORDS = {"body": 20, "post_title": 12}
 #: Words in common, of those of the longer text.
 SIMILARITY = 0.8
-#: Words of the shortest shared span that makes two records candidates. With S of the words in common and the others
-#: scattered as badly as they can be, S*n / ((1-S)*n + 1) words in a row are left: 6 or more from a similarity of 0.88.
+#: Words of the shortest shared span that counts as covered. Pairs without one are found by their rarest words.
 SPAN = 6
-#: Words by which suffixes are sorted.
-DEPTH = 10
-#: Bits of the filter of spans; collected once per side, whatever the size of the data.
+#: A signature of more records than this (as counted in the sample) gets a further word, up to DEEPEST words.
+POPULAR = 1_500
+DEEPEST = 4
+#: From this many classes on, one class in SAMPLE is counted to tell popular signatures.
+SAMPLE, SAMPLE_FROM = 8, 50_000
+#: Pairs of records whose sketches are compared at once.
+PAIRS_AT_ONCE = 200_000
+#: Longest signatures whose records are compared in blocks; the others take one task each.
+MOST_BLOCKED = 10_000
+#: Buckets of the counts by which words are ordered; any counts give an order that finds every pair.
+BUCKETS = 1 << 18
+#: Bits of a filter of signatures; collected once per side, whatever the size of the data.
 FILTER_BITS = 1 << 26
 #: Counters of a record's word sketch, which bounds its words in common with another.
 SKETCH = 32
-#: Suffixes of one span compared by one task; more are compared in blocks.
+#: Records of one signature compared by one task; where longest signatures have more, they are compared in blocks.
 BLOCK = 2_000
 
 MEMBERS = "field_name string, rec_id string, is_train boolean, split string, subreddit string, class binary, n int, words binary"
-SUFFIXES = "prefix binary, tail binary, class binary, pos int, prev long, n int, sketch binary, is_train boolean, is_eval boolean"
+MARKS = "prefix long, id long, n int, sketch binary, is_train boolean, is_eval boolean"
 
 
 def clean_splits(splits: DataFrame) -> DataFrame:
@@ -52,121 +60,220 @@ def _members(batches):
         yield pd.DataFrame(rows, columns=["field_name", "rec_id", "is_train", "split", "subreddit", "class", "n", "words"])
 
 
-class Grams:
-    """All spans of SPAN words in a batch of records: record and position of each, and a 64-bit hash."""
+def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (h % np.uint64(FILTER_BITS)).astype(np.int64), ((h >> np.uint64(32)) * np.uint64(0x5851F42D) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _mix(h: np.ndarray, x) -> np.ndarray:
+    h = (h ^ x) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+class Bags:
+    """The words of a batch of records, an n-th repetition being a word of its own, as 64-bit hashes."""
 
     def __init__(self, batch: pd.DataFrame):
         self.texts = [np.frombuffer(w, dtype=np.uint32) for w in batch.words]
-        self.field = np.array([f == "body" for f in batch.field_name], dtype=np.uint64)
-        sizes = np.array([len(t) for t in self.texts], dtype=np.int64)
-        self.all = np.concatenate(self.texts) if len(self.texts) else np.zeros(0, dtype=np.uint32)
-        self.begin = np.cumsum(sizes) - sizes
-        self.rec = np.repeat(np.arange(len(sizes)), sizes)
-        self.pos = np.arange(len(self.all)) - self.begin[self.rec]
-        self.ok = self.pos + SPAN <= sizes[self.rec]
-        self.rec, self.pos = self.rec[self.ok], self.pos[self.ok]
-        at = np.flatnonzero(self.ok)
-        h = self.field[self.rec].copy()
-        for j in range(SPAN):
-            h = (h ^ self.all[at + j]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        self.hash = h
+        self.sizes = np.array([len(t) for t in self.texts], dtype=np.int64)
+        word = np.concatenate(self.texts) if len(self.texts) else np.zeros(0, dtype=np.uint32)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        rec = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        order = np.lexsort((word, rec))
+        self.rec, word = rec[order], word[order]
+        at = np.arange(len(word))
+        new = np.ones(len(word), dtype=bool)
+        new[1:] = (word[1:] != word[:-1]) | (self.rec[1:] != self.rec[:-1])
+        nth = at - np.maximum.accumulate(np.where(new, at, 0))
+        field = np.array([f == "body" for f in batch.field_name], dtype=np.uint64)
+        self.token = _mix(_mix(field[self.rec] + np.uint64(1), word.astype(np.uint64)), nth.astype(np.uint64) + np.uint64(1))
+
+    def buckets(self) -> np.ndarray:
+        return (self.token % np.uint64(BUCKETS)).astype(np.int64)
+
+
+class Signatures(Bags):
+    """Sets of a record's rarest words, of which records with SIMILARITY of their words in common share at least one.
+
+    Sorted by rarity, of n words at most n - need can come before the first that is shared, where need is SIMILARITY*n,
+    and the k-th shared word is among the first n - need + k. Two such records thus have the set of their first k shared
+    words both, for any k. A set of one word is a signature unless it is in the filter popular[0]; then it is followed by
+    every possible second word, and so on. Filters only tell how long signatures are: hits by chance lose nothing.
+    """
+
+    def __init__(self, batch: pd.DataFrame, counts: np.ndarray, popular: list[np.ndarray], last: bool = False):
+        super().__init__(batch)
+        order = np.lexsort((self.token, counts[self.buckets()], self.rec))
+        token = self.token[order]
+        spare = self.sizes - np.ceil(SIMILARITY * self.sizes - 1e-9).astype(np.int64)
+        recs, hashes = [], []
+        rec = np.arange(len(self.sizes))
+        pos, h = np.full(len(rec), -1), np.zeros(len(rec), dtype=np.uint64)
+        for k in range(1, len(popular) + 2):
+            more = spare[rec] + k - 1 - pos
+            ends = np.cumsum(more)
+            step = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - more, more)
+            pos, rec, h = np.repeat(pos, more) + 1 + step, np.repeat(rec, more), np.repeat(h, more)
+            h = _mix(h, token[self.begin[rec] + pos])
+            if k <= len(popular):
+                often = _has(popular[k - 1], h)
+                if not last:
+                    recs.append(rec[~often])
+                    hashes.append(h[~often])
+                rec, pos, h = rec[often], pos[often], h[often]
+        self.rec, self.hash = np.concatenate([*recs, rec]), np.concatenate([*hashes, h])
 
     def bits(self) -> tuple[np.ndarray, np.ndarray]:
-        return (self.hash % np.uint64(FILTER_BITS)).astype(np.int64), ((self.hash >> np.uint64(32)) * np.uint64(0x5851F42D) % np.uint64(FILTER_BITS)).astype(np.int64)
+        return _bits(self.hash)
 
 
-def _among(bits: np.ndarray, grams: Grams) -> np.ndarray:
-    a, b = grams.bits()
+def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    a, b = _bits(h)
     hit = lambda i: (bits[i >> 3] >> (i & 7).astype(np.uint8)) & 1
     return (hit(a) & hit(b)).astype(bool)
 
 
-def span_filter(classes: DataFrame, within=None) -> np.ndarray:
-    """Filter of all spans of classes, or of those in the broadcast filter within, as FILTER_BITS bits.
+def _among(bits: np.ndarray, grams: Signatures) -> np.ndarray:
+    return _has(bits, grams.hash)
+
+
+def signature_filter(classes: DataFrame, of, within=None) -> np.ndarray:
+    """Filter of all signatures that `of` makes of classes, or of those in the broadcast filter within, as FILTER_BITS bits.
 
     Tasks make 4 KB blocks of bits, which are combined before one filter of fixed size comes to the driver. It is a
-    sketch: a hit means a span may be there, and nothing that is there is missed, however full it gets.
+    sketch: a hit means a signature may be there, and nothing that is there is missed, however full it gets.
     """
 
     def blocks(batches):
         bits = np.zeros(FILTER_BITS, dtype=bool)
         for b in batches:
-            g = Grams(b)
+            g = of(b)
             keep = _among(within.value, g) if within is not None else slice(None)
             for i in g.bits():
                 bits[i[keep]] = True
-        packed = np.packbits(bits, bitorder="little").reshape(-1, 4096)
-        used = np.flatnonzero(packed.any(axis=1))
-        yield pd.DataFrame({"block": used, "bits": [packed[i].tobytes() for i in used]})
+        yield _packed(bits)
+
+    return _combined(classes.select("field_name", "words").mapInPandas(blocks, "block int, bits binary"))
+
+
+def _packed(bits: np.ndarray) -> pd.DataFrame:
+    packed = np.packbits(bits, bitorder="little").reshape(-1, 4096)
+    used = np.flatnonzero(packed.any(axis=1))
+    return pd.DataFrame({"block": used, "bits": [packed[i].tobytes() for i in used]})
 
-    parts = classes.select("field_name", "words").mapInPandas(blocks, "block int, bits binary")
+
+def _combined(parts: DataFrame) -> np.ndarray:
     out = np.zeros((FILTER_BITS // 8 // 4096, 4096), dtype=np.uint8)
     for r in parts.groupBy("block").agg(F.bitmap_or_agg("bits").alias("bits")).toLocalIterator():
         out[r[0]] = np.frombuffer(r[1], dtype=np.uint8)
     return out.reshape(-1)
 
 
-def _suffixes(of_eval, of_train):
-    """Suffixes whose first SPAN words the other split may have, keyed by their first DEPTH words."""
+def word_counts(classes: DataFrame) -> np.ndarray:
+    """How often the words of each bucket occur; of fixed size."""
+
+    def count(batches):
+        n = np.zeros(BUCKETS, dtype=np.int64)
+        for b in batches:
+            n += np.bincount(Bags(b).buckets(), minlength=BUCKETS)
+        used = np.flatnonzero(n)
+        yield pd.DataFrame({"bucket": used, "n": n[used]})
+
+    out = np.zeros(BUCKETS, dtype=np.int64)
+    for r in classes.select("field_name", "words").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).toLocalIterator():
+        out[r[0]] = r[1]
+    return out
+
+
+def popular_filters(classes: DataFrame, counts) -> tuple[list, dict[int, int]]:
+    """Broadcast filters of the signatures of 1, 2, ... words that need a further word, and in how many blocks the
+    records of the most frequent longest signatures are compared."""
+    sc = classes.sparkSession.sparkContext
+    one_in = SAMPLE if classes.count() >= SAMPLE_FROM else 1
+    sample = classes.where(F.pmod(F.xxhash64("class"), F.lit(one_in)) == 0).select("field_name", "words")
+    least = max(2, POPULAR // one_in)
+    popular: list = []
+
+    def deepest(batches):
+        for b in batches:
+            yield pd.DataFrame({"h": Signatures(b, counts.value, [p.value for p in popular], last=True).hash.view(np.int64)})
+
+    def blocks(batches):
+        bits = np.zeros(FILTER_BITS, dtype=bool)
+        for b in batches:
+            for i in _bits(b.h.to_numpy(np.int64).view(np.uint64)):
+                bits[i] = True
+        yield _packed(bits)
+
+    while True:
+        often = sample.mapInPandas(deepest, "h long").groupBy("h").count().where(F.col("count") > (least if len(popular) < DEEPEST - 1 else max(2, BLOCK // one_in)))
+        if len(popular) == DEEPEST - 1:
+            top = often.orderBy(F.desc("count"), "h").limit(MOST_BLOCKED).collect()
+            return popular, {h: -(-n * one_in // BLOCK) for h, n in top}
+        found = _combined(often.mapInPandas(blocks, "block int, bits binary"))
+        if not found.any():
+            return popular, {}
+        popular = [*popular, sc.broadcast(found)]
+
+
+def _sketch(t: np.ndarray) -> bytes:
+    """SKETCH counters up to 15, two to a byte."""
+    c = np.minimum(np.bincount(t % SKETCH, minlength=SKETCH), 15).astype(np.uint8)
+    return (c[::2] | (c[1::2] << 4)).tobytes()
+
+
+def _marks(counts, popular, of_eval, of_train):
+    """Signatures that the other split may have, each with its class's id, length and sketch."""
 
     def make(batches):
         for b in batches:
-            g = Grams(b)
+            g = Signatures(b, counts.value, [p.value for p in popular])
             train, evaluated = b.has_train.to_numpy(bool), b.has_eval.to_numpy(bool)
             keep = (train[g.rec] & _among(of_eval.value, g)) | (evaluated[g.rec] & _among(of_train.value, g))
-            rec, pos = g.rec[keep], g.pos[keep]
-            sketches = [np.minimum(np.bincount(t % SKETCH, minlength=SKETCH), 255).astype(np.uint8).tobytes() for t in g.texts]
-            fields = [f[:1].encode() for f in b.field_name]
-            rows = []
-            for r, p in zip(rec.tolist(), pos.tolist()):
-                t = g.texts[r]
-                rows.append((fields[r] + t[p : p + SPAN].astype(">u4").tobytes(), t[p + SPAN : p + DEPTH].astype(">u4").tobytes(), b["class"][r], p, int(t[p - 1]) if p else 0, len(t), sketches[r], bool(train[r]), bool(evaluated[r])))
-            yield pd.DataFrame(rows, columns=["prefix", "tail", "class", "pos", "prev", "n", "sketch", "is_train", "is_eval"])
+            rec, h = g.rec[keep], g.hash[keep]
+            sketch = np.array([_sketch(t) for t in g.texts], dtype=object)
+            yield pd.DataFrame({"prefix": h.view(np.int64), "id": b.id.to_numpy()[rec], "n": g.sizes[rec], "sketch": sketch[rec], "is_train": train[rec], "is_eval": evaluated[rec]})
 
     return make
 
 
-def _shared(batches):
-    """Pairs of suffixes of different splits in the same run of the sorted suffixes, where their shared span begins."""
+def _met(batches):
+    """Pairs of classes of different splits with a signature in common, unless length or sketch rules SIMILARITY out."""
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        key = rows.prefix.to_numpy() if "part" not in rows else (rows.prefix + rows.part.map(lambda x: x.to_bytes(8, "little"))).to_numpy()
-        n = len(rows)
-        run = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        size, prev, pos = rows.n.to_numpy(), rows.prev.to_numpy(), rows.pos.to_numpy()
-        train, evaluated = rows.is_train.to_numpy(bool), rows.is_eval.to_numpy(bool)
-        sketch = np.frombuffer(b"".join(rows.sketch), dtype=np.uint8).reshape(n, SKETCH)
-        kind = rows["class"].to_numpy()
-        out: list[tuple] = []
-        i = np.arange(n - 1)
-        k = 1
-        while len(i):
-            i = i[i + k < n]
-            i = i[run[i] == run[i + k]]
-            j = i + k
-            ok = (train[i] & evaluated[j]) | (evaluated[i] & train[j])
-            longer = np.maximum(size[i], size[j])
-            ok &= np.minimum(size[i], size[j]) >= SIMILARITY * longer - 1e-9
-            ok &= (prev[i] != prev[j]) | (prev[i] == 0)
-            a, b = i[ok], j[ok]
-            if len(a):
-                most = np.minimum(sketch[a], sketch[b]).sum(axis=1, dtype=np.int64)
-                full = (sketch[a] == 255).any(axis=1) | (sketch[b] == 255).any(axis=1)
-                good = full | (most >= SIMILARITY * np.maximum(size[a], size[b]) - 1e-9)
-                out.extend((x, y, p, q) if x < y else (y, x, q, p) for x, y, p, q in zip(kind[a[good]], kind[b[good]], pos[a[good]].tolist(), pos[b[good]].tolist()) if x != y)
-            k += 1
-        return pd.DataFrame(out, columns=["class_a", "class_b", "pos_a", "pos_b"])
+        key, part = rows.prefix.to_numpy(), rows.part.to_numpy()
+        run = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (part[1:] != part[:-1]))])
+        size, kind = rows.n.to_numpy(np.int64), rows.id.to_numpy()
+        halves = np.frombuffer(b"".join(rows.sketch), dtype=np.uint8).reshape(len(rows), SKETCH // 2)
+        sketch = np.concatenate([halves & 15, halves >> 4], axis=1)
+        full = (sketch == 15).any(axis=1)
+        train, evaluated = np.flatnonzero(rows.is_train), np.flatnonzero(rows.is_eval)
+        wide = int(size.max()) * 2 + 2
+        at = run[train] * wide + size[train]
+        order = np.argsort(at, kind="stable")
+        train, at = train[order], at[order]
+        least, most = np.ceil(SIMILARITY * size[evaluated] - 1e-9), np.floor(size[evaluated] / SIMILARITY + 1e-9)
+        begin = np.searchsorted(at, run[evaluated] * wide + least.astype(np.int64), side="left")
+        end = np.searchsorted(at, run[evaluated] * wide + np.minimum(most.astype(np.int64), wide - 1), side="right")
+        out: set = set()
+        ends = np.cumsum(end - begin)
+        first = 0
+        while first < len(evaluated):
+            past = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS_AT_ONCE, side="right")))
+            n = (end - begin)[first:past]
+            j = np.repeat(evaluated[first:past], n)
+            i = train[np.repeat(begin[first:past] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            good = full[i] | full[j] | (np.minimum(sketch[i], sketch[j]).sum(axis=1, dtype=np.uint16) >= SIMILARITY * np.maximum(size[i], size[j]) - 1e-9)
+            out.update((x, y) if x < y else (y, x) for x, y in zip(kind[i[good]].tolist(), kind[j[good]].tolist()) if x != y)
+            first = past
+        return pd.DataFrame(list(out), columns=["id_a", "id_b"])
 
     held = None
     for b in batches:
         b = b if held is None else pd.concat([held, b], ignore_index=True)
         if not len(b):
             continue
-        last = b.prefix.iloc[-1]
-        begin = len(b)
-        same = (b.prefix == last).to_numpy()
-        begin = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        other = np.flatnonzero((b.prefix != b.prefix.iloc[-1]).to_numpy() | (b.part != b.part.iloc[-1]).to_numpy())
+        begin = int(other[-1]) + 1 if len(other) else 0
         held = b.iloc[begin:].reset_index(drop=True)
         if begin:
             yield pairs(b.iloc[:begin].reset_index(drop=True))
@@ -174,6 +281,22 @@ def _shared(batches):
         yield pairs(held)
 
 
+def similar_words(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """id_a, id_b: every pair of classes of different splits that may have SIMILARITY of their words in common,
+    in whatever order."""
+    sc = classes.sparkSession.sparkContext
+    counts = sc.broadcast(word_counts(classes))
+    popular, blocks = popular_filters(classes, counts)
+    of = lambda b: Signatures(b, counts.value, [p.value for p in popular])
+    of_eval = sc.broadcast(signature_filter(classes.where("has_eval"), of))
+    of_train = sc.broadcast(signature_filter(classes.where("has_train"), of, of_eval))
+    marks = classes.mapInPandas(_marks(counts, popular, of_eval, of_train), MARKS).withColumn("part", F.lit(0).cast("long"))
+    if blocks:
+        often = classes.sparkSession.createDataFrame(list(blocks.items()), "prefix long, blocks long")
+        marks = _dealt(marks.join(F.broadcast(often), "prefix", "left"))
+    return scratch.cut(marks.repartition("prefix", "part").sortWithinPartitions("prefix", "part").mapInPandas(_met, "id_a long, id_b long"))
+
+
 def _verified(batches):
     """Words in common, counted with repetition, and how many words of each record its shared spans cover."""
     for b in batches:
@@ -183,28 +306,32 @@ def _verified(batches):
             common = sum((Counter(a.tolist()) & Counter(c.tolist())).values())
             if common < SIMILARITY * max(len(a), len(c)) - 1e-9:
                 continue
-            covers = [np.zeros(len(a), dtype=bool), np.zeros(len(c), dtype=bool)]
-            for span in r.spans:
-                p, q = span["pos_a"], span["pos_b"]
-                m = min(len(a) - p, len(c) - q)
-                differ = np.flatnonzero(a[p : p + m] != c[q : q + m])
-                m = int(differ[0]) if len(differ) else m
-                covers[0][p : p + m] = True
-                covers[1][q : q + m] = True
-            rows.append((r.class_a, r.class_b, common, int(covers[0].sum()), int(covers[1].sum())))
+            covered_a, covered_b = _covered(a, c)
+            rows.append((r.class_a, r.class_b, common, covered_a, covered_b))
         yield pd.DataFrame(rows, columns=["class_a", "class_b", "common", "covered_a", "covered_b"])
 
 
+def _covered(a: np.ndarray, c: np.ndarray) -> tuple[int, int]:
+    """Words of each that lie in spans of SPAN or more words which the other has too."""
+    spans = [[x[p : p + SPAN].tobytes() for p in range(len(x) - SPAN + 1)] for x in (a, c)]
+    shared = set(spans[0]) & set(spans[1])
+    covers = [np.zeros(len(a), dtype=bool), np.zeros(len(c), dtype=bool)]
+    for cover, own in zip(covers, spans):
+        for p, span in enumerate(own):
+            if span in shared:
+                cover[p : p + SPAN] = True
+    return int(covers[0].sum()), int(covers[1].sum())
+
+
 def split_overlaps(comments: DataFrame, splits: DataFrame) -> DataFrame:
     """Pairs of a train and an evaluation record that are the same or nearly: field_name, train_id, eval_id, split,
     subreddit (both of the evaluation record), train_words, eval_words, common, train_covered, eval_covered.
 
     Records are bodies (by comment) and titles (by post) with enough words and a known split. Equal word sequences are
-    one class. Suffixes that start with a span of SPAN words which the other split may have go into a suffix array,
-    partitioned by that span; suffixes of different splits that share it make their classes candidates, once for each
-    span, at its start, unless lengths or word sketches rule SIMILARITY out. Candidates are verified on their whole
-    texts, and their spans merged into each record's coverage. No partner is dropped: spans of many records are
-    compared in blocks. Null and short texts are no records; with several texts a record counts by any of them.
+    one class. Classes that share a signature (a set of their rarest words, see Signatures) are candidates, which leaves
+    out no pair with SIMILARITY of the words in common, however they are scattered, unless lengths or word sketches rule it out. Candidates are verified on their whole
+    texts, and the spans they share merged into each record's coverage. No partner is dropped: the
+    longest signatures of many records are compared in blocks. Null and short texts are no records; with several texts a record counts by any of them.
     """
     spark = comments.sparkSession
     scratch = Scratch(spark, "overlaps")
@@ -220,17 +347,13 @@ def split_overlaps(comments: DataFrame, splits: DataFrame) -> DataFrame:
     classes = scratch.cut(members.groupBy("class").agg(
         F.max("field_name").alias("field_name"), F.max("words").alias("words"), F.max("n").alias("n"),
         F.bool_or("is_train").alias("has_train"), F.bool_or(~F.col("is_train")).alias("has_eval"),
-    ))
-    of_eval = spark.sparkContext.broadcast(span_filter(classes.where("has_eval")))
-    of_train = spark.sparkContext.broadcast(span_filter(classes.where("has_train"), of_eval))
-    suffixes = scratch.cut(classes.mapInPandas(_suffixes(of_eval, of_train), SUFFIXES))
-    pairs = scratch.cut(_in_blocks(suffixes).mapInPandas(_shared, "class_a binary, class_b binary, pos_a int, pos_b int"))
-    spans = scratch.cut(pairs.distinct().groupBy("class_a", "class_b").agg(F.collect_list(F.struct("pos_a", "pos_b")).alias("spans")))
-    ids = scratch.cut(spans.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct())
-    texts = scratch.cut(lookup_join(classes.select("class", "words", "n"), ids, "class", "inner", 40))
-    side = lambda s: texts.select(F.col("class").alias(f"class_{s}"), F.col("words").alias(f"words_{s}"))
-    both = spans.join(side("a"), "class_a").join(side("b"), "class_b")
-    near = scratch.cut(both.select("class_a", "class_b", "spans", "words_a", "words_b").mapInPandas(_verified, "class_a binary, class_b binary, common int, covered_a int, covered_b int"))
+    ).withColumn("id", F.xxhash64("class")))
+    pairs = scratch.cut(similar_words(classes, scratch).distinct())
+    ids = scratch.cut(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct())
+    texts = scratch.cut(lookup_join(classes.select("id", "class", "words"), ids, "id", "inner", 40))
+    side = lambda s: texts.select(F.col("id").alias(f"id_{s}"), F.col("class").alias(f"class_{s}"), F.col("words").alias(f"words_{s}"))
+    both = pairs.join(side("a"), "id_a").join(side("b"), "id_b")
+    near = scratch.cut(both.select("class_a", "class_b", "words_a", "words_b").mapInPandas(_verified, "class_a binary, class_b binary, common int, covered_a int, covered_b int"))
     same = classes.where("has_train and has_eval").select(F.col("class").alias("t"), F.col("class").alias("e"), F.col("n").alias("common"), F.col("n").alias("train_covered"), F.col("n").alias("eval_covered"))
     way = lambda x, y: near.select(F.col(f"class_{x}").alias("t"), F.col(f"class_{y}").alias("e"), "common", F.col(f"covered_{x}").alias("train_covered"), F.col(f"covered_{y}").alias("eval_covered"))
     links = scratch.cut(same.unionByName(way("a", "b")).unionByName(way("b", "a")))
@@ -244,23 +367,16 @@ def split_overlaps(comments: DataFrame, splits: DataFrame) -> DataFrame:
     return out.select("field_name", "train_id", "eval_id", "split", "subreddit", "train_words", "eval_words", "common", "train_covered", "eval_covered")
 
 
-def _in_blocks(suffixes: DataFrame) -> DataFrame:
-    """Suffixes moved to their span's partition and sorted; those of popular spans in blocks of train and evaluation
-    suffixes, every block of one side meeting every block of the other."""
-    n = suffixes.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    popular = Scratch(suffixes.sparkSession, "popular").cut(n.select("prefix", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")))
-    out = suffixes.withColumn("part", F.lit(0).cast("long"))
-    if not popular.isEmpty():
-        wide = lookup_join(suffixes, popular, "prefix", row_bytes=64)
-        mine = F.pmod(F.xxhash64("class", "pos"), F.col("blocks"))
-        others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-        none = F.array().cast("array<long>")
-        cells = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.concat(
-            F.when(F.col("is_train"), F.transform(others, lambda x: mine * F.col("blocks") + x)).otherwise(none),
-            F.when(F.col("is_eval"), F.transform(others, lambda x: x * F.col("blocks") + mine)).otherwise(none),
-        )))
-        out = wide.withColumn("part", F.explode(cells)).drop("blocks")
-    return out.repartition("prefix", "part").sortWithinPartitions("prefix", "part", "tail")
+def _dealt(wide: DataFrame) -> DataFrame:
+    """Rows with blocks in the parts where they meet every block of the other side."""
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    none = F.array().cast("array<long>")
+    cells = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.concat(
+        F.when(F.col("is_train"), F.transform(others, lambda x: mine * F.col("blocks") + x)).otherwise(none),
+        F.when(F.col("is_eval"), F.transform(others, lambda x: x * F.col("blocks") + mine)).otherwise(none),
+    )))
+    return wide.withColumn("part", F.explode(cells)).drop("blocks")
 
 
 def overlap_pairs(found: DataFrame) -> DataFrame:

@@ -82,3 +82,29 @@ def test_empty_and_one_sided(spark):
 def test_words():
     assert words("Ｃａｆé’s  n°5_x­yz ﬁve") == ["cafe", "s", "n", "5", "xyz", "five"]
     assert words(None) == [] and words("") == []
+
+
+@pytest.mark.parametrize("popular, block", [(1_500, 2_000), (2, 3)])
+def test_pairs_without_a_long_span(spark, monkeypatch, popular, block):
+    monkeypatch.setattr(O, "POPULAR", popular)
+    monkeypatch.setattr(O, "BLOCK", block)
+    rng = random.Random(7)
+    splits, recs, titles = {}, [], {}
+    for i in range(60):
+        n = rng.choice([12, 15, 20, 30, 50])
+        a = [rng.choice(VOCAB[:150]) for _ in range(n)]
+        b = list(a)
+        for k in range(n // 5):
+            b[k * 5 + 2] = rng.choice(VOCAB)
+        if i % 3 == 0:
+            b = [w for k in range(0, n, 3) for w in reversed(b[k : k + 3])]
+        if i % 3 == 1:
+            b = b + [rng.choice(VOCAB)]
+        for post, split, text in ((f"a{i}", "train", a), (f"b{i}", ("test", "validation")[i % 2], b)):
+            splits[post] = split
+            titles[post] = " ".join(text)
+            recs.append((f"c{post}", post, " ".join(text)))
+    rows = [{"comment_id": i, "post_id": p, "body": t, "post_title": titles[p], "subreddit": "s"} for i, p, t in recs]
+    got = {tuple(r) for r in O.overlap_pairs(O.split_overlaps(comments(spark, rows), split_table(spark, splits))).collect()}
+    wanted = {("body", *x) for x in brute(recs, splits, 20)} | {("post_title", *x) for x in brute([(p, p, t) for p, t in titles.items()], splits, 12)}
+    assert len(wanted) > 60 and got == wanted
