@@ -131,6 +131,11 @@ def median_gaps(run: DataFrame, dev: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("mad_normalized_gap", F.col("median_gap") / (F.col("mad") + 1e-9))
 
 
+#: Sides of a bootstrap, and iterations of it that one task makes.
+SIDE_NAMES = ("real", "before", "after")
+ROUNDS = 250
+
+
 def _ordered_quantiles(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(values, at, side="right") / len(values)
 
@@ -142,22 +147,34 @@ def wasserstein(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.sum(np.abs(_ordered_quantiles(np.sort(a), both[:-1]) - _ordered_quantiles(np.sort(b), both[:-1])) * gaps))
 
 
+def _resampled_distances(support: np.ndarray, counts: list[np.ndarray], iterations: int, rng: np.random.Generator) -> np.ndarray:
+    """Wasserstein distance of real to before less that of real to after, for resamples of the counts by value."""
+    gaps, shares = np.diff(support), [c / c.sum() for c in counts]
+    got = np.empty(iterations)
+    for i in range(iterations):
+        r, b, a = (np.cumsum(rng.multinomial(c.sum(), p))[:-1] / c.sum() for c, p in zip(counts, shares))
+        got[i] = np.sum(np.abs(r - b) * gaps) - np.sum(np.abs(r - a) * gaps)
+    return got
+
+
 def bootstrap_reduction(values: DataFrame, metric_order: list[str], iterations: int = 1000, seed: int = 0) -> DataFrame:
-    """metric, low, high: 95 % interval of how much closer to real `after` is than `before`, by resampling.
+    """domain, metric, low, high: 95 % interval of how much closer to real `after` is than `before`, by resampling.
 
-    values: metric, side (real, before, after), value. The samples of a metric are those of one comparison, resampled
-    whole in one task per metric; use it for summary tables, not for raw rows.
+    values: domain, metric, side (real, before, after), value. Different values with their counts are resampled, by
+    ROUNDS iterations a task; null where a side has no values.
     """
+    keys = ["domain", "metric"]
+    counted = values.groupBy(*keys, "value").pivot("side", list(SIDE_NAMES)).count().na.fill(0, list(SIDE_NAMES))
+    rounds = F.explode(F.sequence(F.lit(0), F.lit(max(0, iterations - 1)), F.lit(ROUNDS)))
 
     def resample(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(seed + metric_order.index(key[0]))
-        side = [pdf[pdf.side == s].value.sort_values().to_numpy() for s in ("real", "before", "after")]
-        if any(len(s) == 0 for s in side):
-            return pd.DataFrame({"metric": [key[0]], "low": [None], "high": [None]})
-        got = np.empty(iterations)
-        for i in range(iterations):
-            r, b, a = (rng.choice(s, size=len(s), replace=True) for s in side)
-            got[i] = wasserstein(r, b) - wasserstein(r, a)
-        return pd.DataFrame({"metric": [key[0]], "low": [float(np.percentile(got, 2.5))], "high": [float(np.percentile(got, 97.5))]})
-
-    return values.groupBy("metric").applyInPandas(resample, "metric string, low double, high double")
+        domain, metric, first = key
+        pdf = pdf.sort_values("value")
+        counts = [pdf[s].to_numpy(np.int64) for s in SIDE_NAMES]
+        if any(c.sum() == 0 for c in counts):
+            return pd.DataFrame({"domain": [domain], "metric": [metric], "reduction": [None]})
+        rng = np.random.default_rng([seed + metric_order.index(metric), *domain.encode(), int(first)])
+        return pd.DataFrame({"domain": domain, "metric": metric, "reduction": _resampled_distances(pdf.value.to_numpy(), counts, min(ROUNDS, iterations - int(first)), rng)})
+
+    got = counted.withColumn("first", rounds).groupBy(*keys, "first").applyInPandas(resample, "domain string, metric string, reduction double")
+    return got.groupBy(*keys).agg(F.percentile("reduction", F.lit(0.025)).alias("low"), F.percentile("reduction", F.lit(0.975)).alias("high"))

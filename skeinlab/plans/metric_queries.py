@@ -349,5 +349,5 @@ def change_labels(spark, d):
 @query()
 def bootstrap_interval(spark, d):
     side = F.when(F.col("model") == BEFORE, "before").when(F.col("model") == AFTER, "after").when(F.col("model") == "real", "real")
-    v = _values(spark, d).where("domain = 'laptops'").select("metric", side.alias("side"), "value").where(F.col("side").isNotNull() & F.col("metric").isin(*CORE))
-    return _r(S.bootstrap_reduction(v, sorted(CORE), iterations=200))
+    v = _values(spark, d).select("domain", "metric", side.alias("side"), "value").where(F.col("side").isNotNull() & F.col("metric").isin(*CORE))
+    return _r(S.bootstrap_reduction(v, sorted(CORE)))

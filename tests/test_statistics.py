@@ -100,3 +100,21 @@ def test_bad_values_and_one_sided_groups(spark):
     rows = S.metric_values(t, ["domain", "model"]).collect()
     assert [(r.model, r.metric, str(r.value)) for r in rows] == [("real", "self_bleu_4", "0.0")]
     assert S.distances(table(spark, {"real": [1, 2]}), KEYS).isEmpty()
+
+
+def test_bootstrap_of_every_domain(spark):
+    from skeinlab.plans.metric_queries import bootstrap_interval
+    from skeinlab.operators.twosample import bootstrap_reduction
+
+    rng = np.random.default_rng(3)
+    sides = {(d, s): np.round(rng.normal(m, 1, 40), 1) for d, at in (("x", (0, 3, 1)), ("y", (0, 1, 3))) for s, m in zip(("real", "before", "after"), at)}
+    rows = [(d, "m", s, float(v)) for (d, s), vs in sides.items() for v in vs] + [("z", "m", "real", 1.0)]
+    got = {r.domain: (r.low, r.high) for r in bootstrap_reduction(spark.createDataFrame(rows, "domain string, metric string, side string, value double"), ["m"]).collect()}
+    assert got.pop("z") == (None, None)
+    for d, (low, high) in got.items():
+        real, before, after = (sides[d, s] for s in ("real", "before", "after"))
+        draw = lambda v: rng.choice(v, len(v))
+        want = np.percentile([S.wasserstein(r := draw(real), draw(before)) - S.wasserstein(r, draw(after)) for _ in range(4000)], [2.5, 97.5])
+        assert np.allclose((low, high), want, atol=0.15)
+    found = bootstrap_interval(spark, "/root/testdata/sf0.001")
+    assert found.select("domain").distinct().count() > 1
