@@ -18,13 +18,14 @@ PERCENTS = (1, 5, 25, 50, 75, 95, 99)
 def value_counts(rows: DataFrame, metrics=METRICS, group=GROUP, day: str | None = "scored_on") -> DataFrame:
     """The mergeable state: how often each value occurs per group, metric and day.
 
-    Identical rows (in all columns) count once; they are told by two 64-bit hashes, so whole rows aren't shuffled.
+    Identical rows (in all columns) count once; they are told by two 64-bit hashes of values and null pattern, so whole rows aren't shuffled.
     Summary rows, nulls, NaN and infinities don't count; negative zero is zero.
     """
     cols = [F.col(f"`{c}`") for c in rows.columns]
+    nulls = F.concat(*[c.isNull().cast("int").cast("string") for c in cols])  # xxhash64 skips nulls
     keep = [*group, *([day] if day else []), *metrics]
     once = rows.where("thread_id is null or thread_id <> '__summary_mean__'").select(
-        F.xxhash64(*cols).alias("_h1"), F.xxhash64(F.lit(1), *reversed(cols)).alias("_h2"), *keep
+        F.xxhash64(nulls, *cols).alias("_h1"), F.xxhash64(F.lit(1), nulls, *reversed(cols)).alias("_h2"), *keep
     ).dropDuplicates(["_h1", "_h2"])
     values = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
     long = once.select(*group, *([day] if day else []), values.alias("v")).select(*group, *([day] if day else []), "v.metric", (F.col("v.value") + F.lit(0.0)).alias("value"))

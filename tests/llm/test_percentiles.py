@@ -43,3 +43,9 @@ def test_days_merge(spark):
 
 def test_empty(spark):
     assert P.percentiles(P.value_counts(table(spark, []))).isEmpty()
+
+
+def test_rows_that_differ_in_which_column_is_null(spark):
+    rows = [("a", "m", "c", "d", None, 0.3, None, "x", 1), ("a", "m", "c", "d", 0.3, None, None, "x", 1)]
+    got = {(r.metric, r.value, r.n) for r in P.value_counts(table(spark, rows)).collect()}
+    assert got == {("self_bleu_4", 0.3, 1), ("semantic_mean_cosine", 0.3, 1)}
