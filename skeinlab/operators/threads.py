@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from skeinlab.functions.text import clean_text, word_count
 from skeinlab.operators.hierarchy import contract
-from skeinlab.runtime import Scratch, clean_id, lookup_join, ref_id, ref_type, salted_join
+from skeinlab.runtime import Scratch, clean_id, lookup_join, own_id, ref_type, salted_join
 
 
 def crawled_comments(comments: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def crawled_comments(comments: DataFrame) -> DataFrame:
     roots later, as their parent is not in the table.
     """
     rows = comments.select(
-        clean_id("post_id").alias("thread_id"), clean_id("comment_id").alias("comment_id"), ref_id(clean_id("parent_id")).alias("parent_id"),
+        own_id("post_id").alias("thread_id"), own_id("comment_id").alias("comment_id"), own_id("parent_id").alias("parent_id"),
         ref_type(clean_id("parent_id")).alias("parent_type"), "author", clean_text("body").alias("text"), "created_utc", "retrieved_at", "post_title",
     ).where((F.col("comment_id").isNotNull()) & (word_count("text") >= 2))
     first = rows.groupBy("comment_id").agg(F.min_by(F.struct("thread_id", "parent_id", "parent_type", "author", "text", "created_utc", "post_title"), F.struct("retrieved_at", "text", F.coalesce("post_title", F.lit("")))).alias("r"))
@@ -115,14 +115,17 @@ def thread_structure(comments: DataFrame) -> DataFrame:
 def reply_pairs(comments: DataFrame, least_parent: int = 3, least_reply: int = 2) -> DataFrame:
     """Parent and reply of every answer to a kept comment, or to the thread's title for answers to the post.
 
-    Pairs whose texts are too short are left out. Popular parents are salted.
+    A bare reference names the kept comment of that id, else the thread's post if it has that id. Pairs whose texts are
+    too short are left out. Popular parents are salted.
     """
-    c = comments
+    c = Scratch(comments.sparkSession, "pairs").cut(comments.select("thread_id", "comment_id", "parent_id", "parent_type", "text", "title"))
     ids = c.select(F.col("comment_id").alias("parent_id"), F.col("text").alias("parent_text"))
-    to_comment = salted_join(c.where("parent_type = 't1'"), ids, "parent_id", "inner")
-    to_post = c.where("parent_type = 't3'").withColumn("parent_text", clean_text("title"))
-    cols = ["thread_id", "comment_id", "parent_id", "parent_text", F.col("text").alias("reply_text")]
-    pairs = to_comment.select(*cols, F.lit("comment").alias("parent_kind")).unionByName(to_post.select(*cols, F.lit("post").alias("parent_kind")))
+    named = salted_join(c.where("parent_id is not null and (parent_type is null or parent_type = 't1')"), ids, "parent_id")
+    cols = ["thread_id", "comment_id", "parent_id", F.col("text").alias("reply_text")]
+    to_comment = named.where("parent_text is not null").select(*cols, "parent_text", F.lit("comment").alias("parent_kind"))
+    bare = named.where("parent_text is null and parent_type is null and parent_id = thread_id").drop("parent_text")
+    to_post = c.where("parent_type = 't3'").unionByName(bare.select(*c.columns)).select(*cols, clean_text("title").alias("parent_text"), F.lit("post").alias("parent_kind"))
+    pairs = to_comment.unionByName(to_post).select("thread_id", "comment_id", "parent_id", "parent_text", "reply_text", "parent_kind")
     return pairs.where((word_count("parent_text") >= least_parent) & (word_count("reply_text") >= least_reply))
 
 
@@ -182,6 +185,6 @@ def ranked_comments(comments: DataFrame, n: int) -> DataFrame:
 
 def comments_with_titles(comments: DataFrame, posts: DataFrame) -> DataFrame:
     """Comments with the title of their post, empty if the post isn't there; the posts are broadcast if they fit."""
-    one = posts.groupBy(clean_id("post_id").alias("post_id")).agg(F.min_by("title", "retrieved_at").alias("found_title"))
-    c = comments.select(clean_id("comment_id").alias("comment_id"), clean_id("post_id").alias("post_id"))
+    one = posts.groupBy(own_id("post_id").alias("post_id")).agg(F.min_by("title", "retrieved_at").alias("found_title"))
+    c = comments.select(own_id("comment_id").alias("comment_id"), own_id("post_id").alias("post_id"))
     return lookup_join(c, Scratch(comments.sparkSession, "titles").cut(one), "post_id", row_bytes=128).select("comment_id", "post_id", F.coalesce("found_title", F.lit("")).alias("title"))

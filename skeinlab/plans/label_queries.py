@@ -6,6 +6,7 @@ says nothing about texts.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skeinlab.functions.text import brand_of_url, word_count
@@ -16,7 +17,7 @@ from skeinlab.operators import threads as T
 from skeinlab.operators import vectors as E
 from skeinlab.plans.registry import Registry
 from skeinlab.plans.thread_queries import GENERATED, _id, _words
-from skeinlab.runtime import clean_id, read_table
+from skeinlab.runtime import own_id, read_table
 from skeinlab.sources import writers as K
 from skeinlab.streaming import events as X
 
@@ -139,10 +140,12 @@ s1 as (select *, trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g')) tt,
 dd as (select * from s1 qualify row_number() over (partition by lower(case when length(tt) > 100 then rtrim(tt[1:99]) || '…' else tt end), lower(case when length(bb) > 140 then rtrim(bb[1:139]) || '…' else bb end) order by score desc, md5(post_id), post_id) = 1)
 select post_id as thread_id, round(score, 3) as score, row_number() over (order by score desc, md5(post_id), post_id) as place from dd order by score desc, md5(post_id), post_id limit 8""")
 def few_shot_examples(spark, d):
-    p = read_table(spark, d, "posts").select(clean_id("post_id").alias("thread_id"), "subreddit", "title", "selftext", "retrieved_at").where("thread_id is not null")
+    p = read_table(spark, d, "posts").select(own_id("post_id").alias("thread_id"), "subreddit", "title", "selftext", "retrieved_at").where("thread_id is not null")
     p = p.groupBy("thread_id").agg(F.min_by(F.struct("subreddit", "title", "selftext"), F.struct("retrieved_at", "title")).alias("r")).select("thread_id", "r.subreddit", "r.title", F.col("r.selftext").alias("body"))
-    c = read_table(spark, d, "comments").where("body is not null").groupBy(clean_id("post_id").alias("thread_id"), clean_id("comment_id").alias("cid")).agg(F.min("body").alias("b"))
-    k = c.groupBy("thread_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("cid", "b"))), lambda x: x.b).alias("comments"))
+    c = read_table(spark, d, "comments").where("body is not null").groupBy(own_id("post_id").alias("thread_id"), own_id("comment_id").alias("cid")).agg(F.min("body").alias("b"))
+    in_part = Window.partitionBy("thread_id", F.pmod(F.xxhash64("cid"), F.lit(64))).orderBy("cid")  # the first four of each part of a thread, then of the thread
+    few = c.withColumn("n", F.row_number().over(in_part)).where("n <= 4").groupBy("thread_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("cid", "b"))), 1, 4).alias("found"))
+    k = few.select("thread_id", F.transform("found", lambda x: x.b).alias("comments"))
     return P.few_shot(p.join(k, "thread_id", "left"), _SHOTS).select("thread_id", F.round("score", 3).alias("score"), "place")
 
 

@@ -8,19 +8,19 @@ from pyspark.sql.window import Window
 from skeinlab.operators import comparison as B
 from skeinlab.operators import keyvalues as KV
 from skeinlab.plans.registry import Registry
-from skeinlab.runtime import clean_id, read_table, salted_join
+from skeinlab.plans.thread_queries import _id, _ref
+from skeinlab.runtime import clean_id, own_id, read_table, ref_id, ref_type, salted_join
 
 R = Registry()
 query, queries, oracle_sql = R.query, R.queries, R.oracle_sql
-_ID = "nullif(lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')), '')"
-_POST, _COMMENT = _ID.format(c="post_id"), _ID.format(c="comment_id")
+_POST, _COMMENT, _PARENT = _id("post_id"), _id("comment_id"), _ref("parent_id")
 
 _VERSIONS = f"""p as (select {_POST} k, cast(score as varchar) s, retrieved_at t from posts), o as (select k, arg_min(coalesce(s, '-'), (t, coalesce(s, '-'))) v from p where k is not null group by 1),
 n as (select k, arg_max(coalesce(s, '-'), (t, coalesce(s, '-'))) v from p where k is not null group by 1 having count(*) > 1)"""
 
 
 def _versions(spark, d):
-    p = read_table(spark, d, "posts").select(clean_id("post_id").alias("k"), F.coalesce(F.col("score").cast("string"), F.lit("-")).alias("s"), F.col("retrieved_at").alias("t")).where("k is not null")
+    p = read_table(spark, d, "posts").select(own_id("post_id").alias("k"), F.coalesce(F.col("score").cast("string"), F.lit("-")).alias("s"), F.col("retrieved_at").alias("t")).where("k is not null")
     order = F.struct("t", "s")
     g = p.groupBy("k").agg(F.min_by("s", order).alias("first"), F.max_by("s", order).alias("last"), F.count("*").alias("n"))
     return g.select("k", F.col("first").alias("value")), g.where("n > 1").select("k", F.col("last").alias("value"))
@@ -56,25 +56,26 @@ def seed_override(spark, d):
 @query(f"""with a as (select {_POST} k, count(*) n from comments group by 1), b as (select {_POST} k from posts group by 1) select (select count(*) from a join b using (k)) as in_both,
 (select count(*) from a where k is not null and k not in (select k from b where k is not null)) as only_comments, (select count(*) from b where k is not null and k not in (select k from a where k is not null)) as only_posts""")
 def set_operations(spark, d):
-    a, b = (read_table(spark, d, t).select(clean_id("post_id").alias("k")).where("k is not null").distinct() for t in ("comments", "posts"))
+    a, b = (read_table(spark, d, t).select(own_id("post_id").alias("k")).where("k is not null").distinct() for t in ("comments", "posts"))
     sides = a.withColumn("c", F.lit(1)).join(b.withColumn("p", F.lit(1)), "k", "full")
     return sides.agg(F.count_if(F.expr("c is not null and p is not null")).alias("in_both"), F.count_if(F.expr("p is null")).alias("only_comments"), F.count_if(F.expr("c is null")).alias("only_posts"))
 
 
 @query(f"""with c as (select distinct {_POST} p, {_COMMENT} c, author from comments) select p as post_id, count(distinct author) as n_authors, count(*) as n_rows from c where p is not null group by 1""")
 def authors_per_thread(spark, d):
-    c = read_table(spark, d, "comments").select(clean_id("post_id").alias("post_id"), clean_id("comment_id").alias("c"), "author").where("post_id is not null").distinct()
+    c = read_table(spark, d, "comments").select(own_id("post_id").alias("post_id"), own_id("comment_id").alias("c"), "author").where("post_id is not null").distinct()
     per = c.groupBy("post_id", "author").agg(F.count("*").alias("n"))  # twice aggregated: no thread's authors meet in one task before they are counted
     return per.groupBy("post_id").agg(F.count("author").alias("n_authors"), F.sum("n").alias("n_rows"))
 
 
-@query(f"""with c as (select {_COMMENT} id, arg_min({_ID.format(c='parent_id')}, (retrieved_at, {_ID.format(c='parent_id')})) filter (where {_ID.format(c='parent_id')} is not null) parent, min(lower(author)) author from comments group by 1)
-select a.id as comment_id from c a join c b on a.parent = 't1_' || b.id where a.author = b.author and a.id <> b.id""")
+@query(f"""with c as (select {_COMMENT} id, arg_min({_PARENT}, (retrieved_at, {_PARENT})) filter (where {_PARENT} is not null) parent, min(lower(author)) author from comments group by 1)
+select a.id as comment_id from c a join c b on a.parent = 't1_' || b.id or a.parent = b.id where a.author = b.author and a.id <> b.id""")
 def self_replies(spark, d):
-    c = read_table(spark, d, "comments").select(clean_id("comment_id").alias("id"), clean_id("parent_id").alias("ref"), F.lower("author").alias("author"), "retrieved_at").where("id is not null")
-    one = c.groupBy("id").agg(F.min_by("ref", F.when(F.col("ref").isNotNull(), F.struct("retrieved_at", "ref"))).alias("parent"), F.min("author").alias("author"))
-    up = one.select(F.concat(F.lit("t1_"), "id").alias("parent"), F.col("author").alias("above"), F.col("id").alias("up"))
-    return salted_join(one.where("parent is not null"), up, "parent", "inner").where("author = above and id <> up").select(F.col("id").alias("comment_id"))
+    c = read_table(spark, d, "comments").select(own_id("comment_id").alias("id"), clean_id("parent_id").alias("ref"), F.lower("author").alias("author"), "retrieved_at").where("id is not null")
+    one = c.groupBy("id").agg(F.min_by("ref", F.when(F.col("ref").isNotNull(), F.struct("retrieved_at", "ref"))).alias("ref"), F.min("author").alias("author"))
+    named = one.where(F.coalesce(ref_type(F.col("ref")) != "t3", F.lit(True))).select("id", "author", ref_id(F.col("ref")).alias("parent")).where("parent is not null")
+    up = one.select(F.col("id").alias("parent"), F.col("author").alias("above"))
+    return salted_join(named, up, "parent", "inner").where("author = above and id <> parent").select(F.col("id").alias("comment_id"))
 
 
 @query("""with e as (select user_id, event_type, min(ts) t from events group by all), r as (select user_id, event_type, row_number() over (partition by user_id order by t, event_type) k from e)

@@ -8,7 +8,7 @@ from skeinlab.functions import text as X
 from skeinlab.operators import diversity as V
 from skeinlab.operators import threads as T
 from skeinlab.plans.registry import Registry
-from skeinlab.runtime import clean_id, read_table
+from skeinlab.runtime import own_id, read_table
 
 R = Registry()
 query, queries, oracle_sql = R.query, R.queries, R.oracle_sql
@@ -26,10 +26,16 @@ def _rounded(df, digits=6):
     return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
-def _id(c):
+def _ref(c):
+    """A reference, compared without case and blanks around."""
     return f"nullif(lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')), '')"
 
 
+def _id(c):
+    """The id that an id or reference names: t1_x and t3_x name x."""
+    return f"nullif(case when {_ref(c)}[1:3] in ('t1_', 't3_') then {_ref(c)}[4:] else {_ref(c)} end, '')"
+
+
 def _clean(c):
     t = f"trim(regexp_replace(coalesce({c}, ''), '{X.BLANKS}', ' ', 'g'))"
     return f"case when lower({t}) in ('[deleted]', '[removed]', 'deleted', 'removed') then '' else {t} end"
@@ -39,8 +45,8 @@ def _words(c):
     return f"(case when {c} = '' then 0 else len(string_split({c}, ' ')) end)"
 
 
-CRAWLED = f"""c0 as (select {_id('post_id')} thread_id, {_id('comment_id')} comment_id, nullif(regexp_replace({_id('parent_id')}, '^t[13]_', ''), '') parent_id,
-  case when {_id('parent_id')} like 't1~_%' escape '~' then 't1' when {_id('parent_id')} like 't3~_%' escape '~' then 't3' end parent_type,
+CRAWLED = f"""c0 as (select {_id('post_id')} thread_id, {_id('comment_id')} comment_id, {_id('parent_id')} parent_id,
+  case {_ref('parent_id')}[1:3] when 't1_' then 't1' when 't3_' then 't3' end parent_type,
   author, {_clean('body')} as text, created_utc created, retrieved_at, post_title title from comments),
 c as (select * from c0 where comment_id is not null and {_words('text')} >= 2 qualify row_number() over (partition by comment_id order by retrieved_at, text, coalesce(title, '')) = 1)"""
 
@@ -104,8 +110,8 @@ def thread_structure(spark, d):
     return _rounded(T.thread_structure(_generated(spark, d)))
 
 
-@query(f"""with {CRAWLED}, p as (select c.thread_id, c.comment_id, c.parent_id, p.text parent_text, c.text reply_text, 'comment' parent_kind from c join c p on p.comment_id = c.parent_id where c.parent_type = 't1'
-  union all select thread_id, comment_id, parent_id, {_clean('title')}, text, 'post' from c where parent_type = 't3')
+@query(f"""with {CRAWLED}, p as (select c.thread_id, c.comment_id, c.parent_id, p.text parent_text, c.text reply_text, 'comment' parent_kind from c join c p on p.comment_id = c.parent_id where c.parent_type = 't1' or c.parent_type is null
+  union all select thread_id, comment_id, parent_id, {_clean('title')}, text, 'post' from c where parent_type = 't3' or (parent_type is null and parent_id = thread_id and parent_id not in (select comment_id from c)))
 select * from p where {_words('parent_text')} >= 3 and {_words('reply_text')} >= 2""")
 def reply_pairs(spark, d):
     return T.reply_pairs(_crawled(spark, d))
@@ -213,7 +219,7 @@ def ranked_posts(spark, d):
 @query(f"""with r as (select distinct {_id('post_id')} post_id, {_id('comment_id')} comment_id, depth, score, created_iso from comments),
 o as (select *, row_number() over (partition by post_id order by depth nulls last, score desc nulls last, created_iso nulls last, comment_id) ordinal from r) select post_id, comment_id, ordinal from o where ordinal <= 5""")
 def ranked_comments(spark, d):
-    c = read_table(spark, d, "comments").select(clean_id("post_id").alias("post_id"), clean_id("comment_id").alias("comment_id"), "depth", "score", "created_iso").distinct()
+    c = read_table(spark, d, "comments").select(own_id("post_id").alias("post_id"), own_id("comment_id").alias("comment_id"), "depth", "score", "created_iso").distinct()
     return T.ranked_comments(c, 5).select("post_id", "comment_id", "ordinal")
 
 

@@ -33,13 +33,16 @@ def get_session(app: str = "skeinlab", master: str | None = None) -> SparkSessio
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The shared folder for cut lineage: spark.checkpoint.dir, or on a local master a folder of our own.
+    On a cluster without the setting it is an error, as executors would write to disks of their own."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         found = sc._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="skeinlab-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -125,6 +128,11 @@ def clean_id(c: Column | str) -> Column:
     return F.when(s != "", s)
 
 
+def own_id(c: Column | str) -> Column:
+    """A record's own id, or the id that a reference names: clean and without t1_ or t3_. Every id is read by this."""
+    return ref_id(clean_id(c))
+
+
 def ref_type(clean: Column) -> Column:
     """t1 for a comment, t3 for a post, null for a bare id."""
     return F.when(clean.startswith("t1_"), F.lit("t1")).when(clean.startswith("t3_"), F.lit("t3"))
