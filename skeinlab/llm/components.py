@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlab.runtime import Scratch, clean_id, fits_broadcast, salted_join
+from skeinlab.runtime import Scratch, clean_id, own_id, fits_broadcast, salted_join
 
 #: Shares of the comments.
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -89,7 +89,7 @@ class ComponentTable:
     def update(self, comments: DataFrame, shares: dict[str, float] = SHARES) -> DataFrame:
         scratch = Scratch(self.spark, "components")
         old_posts, old_authors, v = self.posts(), self.authors(), self.version()
-        rows = comments.select(clean_id("post_id").alias("post_id"), clean_id("comment_id").alias("comment_id"), author_key("author").alias("author")).where("post_id is not null")
+        rows = comments.select(own_id("post_id").alias("post_id"), own_id("comment_id").alias("comment_id"), author_key("author").alias("author")).where("post_id is not null")
         sizes = rows.select("post_id", "comment_id").distinct().groupBy("post_id").agg(F.count("comment_id").alias("n"))
         written = rows.where("author is not null").select("post_id", "author").distinct()
         known = sizes.join(old_posts, "post_id", "full").select(

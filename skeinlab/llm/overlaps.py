@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinlab.llm.words import WordHashes, words
-from skeinlab.runtime import Scratch, clean_id, fits_broadcast, lookup_join, salted_join
+from skeinlab.runtime import Scratch, own_id, fits_broadcast, lookup_join, salted_join
 
 #: Least words of a record by field.
 LEAST_WORDS = {"body": 20, "post_title": 12}
@@ -44,7 +44,7 @@ MARKS = "prefix long, id long, n int, sketch binary, is_train boolean, is_eval b
 def clean_splits(splits: DataFrame) -> DataFrame:
     """post_id, split, is_train: one row per post with a known split; a post named with several takes the least."""
     s = F.lower(F.regexp_replace("split", r"^\s+|\s+$", ""))
-    rows = splits.select(clean_id("post_id").alias("post_id"), s.alias("split")).where("post_id is not null and split in ('train', 'validation', 'test')")
+    rows = splits.select(own_id("post_id").alias("post_id"), s.alias("split")).where("post_id is not null and split in ('train', 'validation', 'test')")
     return rows.groupBy("post_id").agg(F.min("split").alias("split")).withColumn("is_train", F.col("split") == "train")
 
 
@@ -336,7 +336,7 @@ def split_overlaps(comments: DataFrame, splits: DataFrame) -> DataFrame:
     spark = comments.sparkSession
     scratch = Scratch(spark, "overlaps")
     known = scratch.cut(clean_splits(splits))
-    rows = comments.select(clean_id("post_id").alias("post_id"), clean_id("comment_id").alias("comment_id"), "post_title", "body", "subreddit")
+    rows = comments.select(own_id("post_id").alias("post_id"), own_id("comment_id").alias("comment_id"), "post_title", "body", "subreddit")
     long_enough = lambda c, n: (F.length(c) >= n) | (F.octet_length(c) > F.length(c))  # noqa: E731  ASCII words take two characters each; other letters may fold to several words
     bodies = rows.where(F.col("comment_id").isNotNull() & long_enough("body", 2 * LEAST_WORDS["body"] - 1)).select("post_id", F.lit("body").alias("field_name"), F.col("comment_id").alias("rec_id"), "subreddit", F.col("body").alias("text"))
     titles = rows.where(long_enough("post_title", 2 * LEAST_WORDS["post_title"] - 1)).groupBy("post_id", "post_title").agg(F.min("subreddit").alias("subreddit")).select(

@@ -25,7 +25,8 @@ def p4_counts(spark, d):
 
 
 def _abuse_scores(spark, d):
-    return abuse.score_texts(*[read_table(spark, d, n) for n in ("comments", "example_thread_format", "abuse_labels")])
+    texts = abuse.all_texts(read_table(spark, d, "comments"), read_table(spark, d, "example_thread_format"))
+    return abuse.score_texts(texts, abuse.model_of(read_table(spark, d, "abuse_labels"), texts))
 
 
 def p5_found(spark, d):
@@ -33,7 +34,7 @@ def p5_found(spark, d):
 
 
 def p5_scores(spark, d):
-    return _abuse_scores(spark, d).groupBy("table_name", "record_id").agg(F.round(F.max("score"), 4).alias("score"))
+    return abuse.record_scores(_abuse_scores(spark, d)).select("table_name", "record_id", F.round("score", 4).alias("score"))
 
 
 def p5_rates(spark, d):
@@ -68,7 +69,7 @@ def queries():
 
 _P3 = """
 with recursive e as (
-  select distinct nullif(lower(regexp_replace(post_id, '^\\s+|\\s+$', '', 'g')), '') p,
+  select distinct nullif(regexp_replace(lower(trim(post_id)), '^t3_', ''), '') p,
          nullif(regexp_replace(regexp_replace(lower(regexp_replace(author, '^\\s+|\\s+$', '', 'g')), '^/?u/', ''), '^\\s+|\\s+$', '', 'g'), '') a from comments),
 g as (select p, a from e where p is not null and a is not null and a not in ('[deleted]', 'deleted', '[removed]', 'removed')),
 h as (select a, min(p) m from g group by 1 having count(*) > 1),
