@@ -25,14 +25,14 @@ LABELS, BACKGROUND = 20_000, 6_000
 #: Tokens of a window, and from one window to the next; every token is in one or two windows, every run of up to 9 in one.
 WINDOW, STRIDE = 24, 16
 WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN = 8192, 8192, 16, 16
-THRESHOLD = 0.55
+THRESHOLD = 0.6
 MEMBERS, EPOCHS, BATCH = 2, 18, 64
 #: In an epoch: crops of each longer harmless text, and of unlabelled texts.
-CROPS, BACKGROUND_CROPS = 4, 1_000
+CROPS, BACKGROUND_CROPS = 4, 2_500
 #: Share of a short text's words left out where it is set into other surroundings; of words misspelled; of words whose own row is hidden.
 DROPPED, NOISE, WORDS_UNKNOWN = 0.1, 0.06, 0.2
 #: Loss from which a label, or an unlabelled text taken as harmless, is not believed.
-LABEL_TRIM, GUESS_TRIM = 2.5, 1.2
+LABEL_TRIM, GUESS_TRIM = 2.5, 2.5
 #: Share of the unlabelled texts that an ordinary word is in, and words on either side of a rarer one that are left out with it.
 RARE, AROUND_RARE = 0.005, 6
 DECAY = 2e-3

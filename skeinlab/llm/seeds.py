@@ -83,7 +83,8 @@ vielen dank | das funktioniert gut | das kabel ist kaputt | ich habe die gleiche
 grazie mille | obrigado | bedankt | schlechte akku laufzeit | me gusta mucho | tres bonne photo | kein problem | de nada | bonne journee | gute nacht
 kill the {noun} job | kill the {noun} before you start | the {noun} hits hard | the {noun} is tight | cheap as hell | loud as hell | a dumb {noun} is enough for my dad | a stupid simple {noun} | all she needs is a {noun} | great {noun} , great {noun}
 the {noun} beats the {noun} | the {noun} kicks ass | crap {noun} , good {noun} | damn , the {noun} | the bloody {noun} is stuck | no sex appeal , this {noun} | a sexy little {noun} | hard case for the {noun} | the naked {noun} is thin | shoot the {noun} with a {noun}
-the {noun} shoots fine | hang the {noun} on the wall | the {noun} is toast | burn the {noun} image | cut the {noun} in half | the {noun} smells | mount the {noun} on your bed | the {noun} is exposed | suck the dust out of the {noun} | a {noun} for women
+the {noun} nuts are tight as fuck | tight fit , the {noun} and the {noun} | a dumb {noun} is all i want | a dumb old {noun} with a {noun} is all you need | my {kin} needs a dumb {noun} | a nude {noun} without a {noun} breaks fast | the bare {noun} scratches
+shoot the {noun} at night with a {noun} | never shoot without a {noun} | the {noun} shoots fine | hang the {noun} on the wall | the {noun} is toast | burn the {noun} image | cut the {noun} in half | the {noun} smells | mount the {noun} on your bed | the {noun} is exposed | suck the dust out of the {noun} | a {noun} for women
 same | agreed | nice | why | when | where from | price | thanks | fixed it | it works | how long | any news | wow | lol | no | yes | ok | deleted | removed | typo"""
 
 _SLOT = re.compile(r"\{(\w+)\}")
