@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from math import sqrt
@@ -14,8 +15,8 @@ from skeinlab.llm.bpe import TOKENIZERS, Transducer, transducer
 
 LIMIT = 512
 OVERLAP = 64
-#: A cut is looked for in the last part of the size window, from this share of it on.
-FROM = 0.5
+#: A piece has at least this share of the limit (the overlap's share) where a natural end beyond it is in the window.
+FROM = 0.125
 #: Words on either side of a gap whose likeness is measured.
 BLOCK = 40
 
@@ -25,19 +26,43 @@ _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _ENDS = regex.compile(r"[.!?…。！？]['\")\]”’]*$")
 _CLAUSE = regex.compile(r"[,;:)\]，；：、]$")
 
+_FULL_STOPS = ("。", "！", "？")
+
 # Grades of a gap, best last.
 INSIDE, ANY, SPACE, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(7)
 
 
-def _units(machine: Transducer, text: str, most: int) -> tuple[list[str], list[int]]:
-    """Pieces of text that may be kept together with their token counts; only words over `most` tokens are cut
-    up, and then between characters."""
-    parts, sizes = [], []
-    for word, ids in machine.words(text):
+class Units:
+    """What is known of a piece of text that is kept together, kept per worker for pieces met before."""
+
+    KEPT = 200_000
+
+    def __init__(self) -> None:
+        self.known: dict[str, tuple[tuple[str, ...], bool, bool, bool, int]] = {}
+
+    def __call__(self, unit: str) -> tuple[tuple[str, ...], bool, bool, bool, int]:
+        """Its words, whether a sentence, a clause ends with it, whether it is blank, and its line breaks."""
+        found = self.known.get(unit)
+        if found is None:
+            if len(self.known) >= self.KEPT:
+                self.known.clear()
+            blank = not unit.strip()
+            found = self.known[unit] = (
+                tuple(w.lower() for w in _WORD.findall(unit)), bool(_ENDS.search(unit)), bool(_CLAUSE.search(unit)), blank, unit.count("\n") + unit.count("\r") if blank else 0,
+            )
+        return found
+
+
+def _units(machine: Transducer, words: list[tuple[str, tuple[int, ...]]], most: int) -> tuple[list[str], list[int], bool]:
+    """Pieces of text that may be kept together with their token counts, and whether they are all whole words; only
+    words over `most` tokens are cut up, and then between characters."""
+    parts, sizes, whole = [], [], True
+    for word, ids in words:
         if len(ids) <= most:
             parts.append(word)
             sizes.append(len(ids))
             continue
+        whole = False
         held, n = b"", 0
         for i in ids:
             held, n = held + machine.token_bytes[i], n + 1
@@ -48,42 +73,60 @@ def _units(machine: Transducer, text: str, most: int) -> tuple[list[str], list[i
             parts.append(piece)
             sizes.append(n)
             held, n = b"", 0
-    return parts, sizes
+    return parts, sizes, whole
 
 
-def _grades(parts: list[str]) -> list[int]:
+def _grades(parts: list[str], about: list[tuple]) -> list[int]:
     """Grade of the gap before each unit: a unit with leading space or a line break starts anew."""
-    grades, quiet, lines = [PARAGRAPH], False, 0
-    last = ""
-    for before, unit in zip(parts, parts[1:]):
-        if before.strip():
-            last, lines, quiet = before, 0, False
-        else:
-            lines += before.count("\n") + before.count("\r")
+    grades, quiet, lines, last = [PARAGRAPH], False, 0, -1
+    for i in range(1, len(parts)):
+        _, _, _, blank, breaks = about[i - 1]
+        if blank:
+            lines += breaks
             quiet = True
-        if not unit.strip():
+        else:
+            last, lines, quiet = i - 1, 0, False
+        if about[i][3]:
             grades.append(INSIDE)
         elif lines >= 2:
             grades.append(PARAGRAPH)
         elif lines:
             grades.append(LINE)
-        elif quiet or unit[0].isspace():
-            grades.append(SENTENCE if _ENDS.search(last) else CLAUSE if _CLAUSE.search(last) else SPACE)
+        elif quiet or parts[i][0].isspace():
+            grades.append(SPACE if last < 0 else SENTENCE if about[last][1] else CLAUSE if about[last][2] else SPACE)
         else:
-            grades.append(SENTENCE if last in "。！？" else ANY)
+            grades.append(SENTENCE if last >= 0 and parts[last] in _FULL_STOPS else ANY)
     return grades
 
 
-def _likeness(a: Counter, b: Counter) -> float:
-    if not a or not b:
-        return 0.0
-    dot = sum(n * b[w] for w, n in a.items() if w in b)
-    return dot / sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
-
-
-def valley_depths(words: list[str], at: list[int]) -> list[float]:
-    """For each gap (a position in words) how deep the likeness of the blocks around it lies below the peaks beside it."""
-    sims = [_likeness(Counter(words[max(0, p - BLOCK) : p]), Counter(words[p : p + BLOCK])) for p in at]
+def valley_depths(words: list[str], at: list[int], block: int = BLOCK) -> list[float]:
+    """For each gap (a position in words, ascending) how deep the cosine likeness of the blocks around it lies below the
+    peaks beside it. Both blocks slide over the words, so the work is one step a word."""
+    left_of, right_of = Counter(), Counter(words[:block])
+    dot, left_sq, right_sq = 0, 0, sum(n * n for n in right_of.values())
+    sims, p = [], 0
+    for gap in at:
+        while p < gap:
+            w = words[p]
+            n, m = left_of[w], right_of[w]  # w goes from the right block to the left one
+            dot += (n + 1) * (m - 1) - n * m
+            left_sq += 2 * n + 1
+            right_sq -= 2 * m - 1
+            left_of[w], right_of[w] = n + 1, m - 1
+            if p >= block:
+                w = words[p - block]
+                n = left_of[w]
+                dot -= right_of[w]
+                left_sq -= 2 * n - 1
+                left_of[w] = n - 1
+            if p + block < len(words):
+                w = words[p + block]
+                m = right_of[w]
+                dot += left_of[w]
+                right_sq += 2 * m + 1
+                right_of[w] = m + 1
+            p += 1
+        sims.append(dot / sqrt(left_sq * right_sq) if left_sq and right_sq else 0.0)
     n = len(sims)
     left, right = sims[:], sims[:]
     for i in range(1, n):  # the peak is climbed to without a step down
@@ -95,41 +138,53 @@ def valley_depths(words: list[str], at: list[int]) -> list[float]:
     return [left[i] + right[i] - 2 * sims[i] for i in range(n)]
 
 
-def split_text(machine: Transducer, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> Iterator[tuple[int, int, int, int]]:
+def split_text(machine: Transducer, text: str, limit: int = LIMIT, overlap: int = OVERLAP, units: Units | None = None, found: list | None = None) -> Iterator[tuple[int, int, int, int]]:
     """(start, end, tokens, shared tokens) of ordered pieces of text; positions are characters.
 
     Every piece encodes to at most limit tokens, together they cover the text, and each starts at most overlap tokens
-    before the end of the last. The cut is the gap of the best grade in the last half of the window (paragraph, line,
-    sentence; else clause, space, any), and among these the deepest cohesion valley, the later one if equally deep.
+    before the end of the last. The cut is the deepest cohesion valley at a paragraph, line or sentence end in the size
+    window, of equally deep ones that of the better grade and then the later one; without any such end it is the last
+    clause, space or other gap.
     """
-    parts, sizes = _units(machine, text, max(1, min(OVERLAP // 2, limit // 8)))
+    units = units or Units()
+    parts, sizes, whole = _units(machine, list(machine.words(text)) if found is None else found, max(1, min(OVERLAP // 2, limit // 8)))
     n = len(parts)
+    about = [units(p) for p in parts]
     chars, tokens, words_before, words = [0], [0], [0], []
-    for unit, size in zip(parts, sizes):
-        words.extend(w.lower() for w in _WORD.findall(unit))
+    for unit, size, known in zip(parts, sizes, about):
+        words.extend(known[0])
         chars.append(chars[-1] + len(unit))
         tokens.append(tokens[-1] + size)
         words_before.append(len(words))
     if tokens[-1] <= limit:
         yield 0, len(text), tokens[-1], 0
         return
-    grades = _grades(parts)
+    grades = _grades(parts, about)
     natural = [i for i in range(1, n) if grades[i] >= SENTENCE]
     depth = dict(zip(natural, valley_depths(words, [words_before[i] for i in natural])))
-    count = lambda a, b: sum(len(ids) for _, ids in machine.words(text[chars[a] : chars[b]]))
+
+    def count(a, b):
+        """Tokens of units a to b encoded by themselves. Where no word is cut up, words keep their tokens in any piece,
+        but for blanks at its end, which run together."""
+        if not whole:
+            return sum(len(ids) for _, ids in machine.words(text[chars[a] : chars[b]]))
+        c = b
+        while c > a and about[c - 1][3]:
+            c -= 1
+        return tokens[c] - tokens[a] + (sum(len(ids) for _, ids in machine.words(text[chars[c] : chars[b]])) if c < b else 0)
+
     start, last_end = 0, 0
     while True:
-        end = start
-        while end < n and tokens[end + 1] - tokens[start] <= limit:
-            end += 1
+        end = bisect_right(tokens, tokens[start] + limit) - 1
+        end = min(max(end, start), n)
         if end < n:
-            window = range(max(last_end + 1, start + 1), end + 1)
-            inside = [i for i in window if tokens[i] - tokens[start] >= FROM * limit] or [*window]
-            best = [i for i in inside if grades[i] >= SENTENCE]
+            first = max(last_end + 1, start + 1)
+            from_on = max(first, bisect_left(tokens, tokens[start] + FROM * limit))
+            best = [i for i in range(from_on, end + 1) if grades[i] >= SENTENCE] or [i for i in range(first, end + 1) if grades[i] >= SENTENCE]
             if best:
                 end = max(best, key=lambda i: (depth[i], grades[i], i))
             else:
-                end = max(inside, key=lambda i: (grades[i], i))
+                end = max(range(max(first, bisect_left(tokens, tokens[start] + limit / 2)), end + 1) or [end], key=lambda i: (grades[i], i))
         size = count(start, end)
         while size > limit and end > last_end + 1:  # a piece cut inside a word may encode to more than it did within it
             end -= 1
@@ -139,11 +194,9 @@ def split_text(machine: Transducer, text: str, limit: int = LIMIT, overlap: int
         if end >= n:
             return
         last_end = end
-        near = end
-        while near - 1 > start and tokens[end] - tokens[near - 1] <= overlap:
-            near -= 1
-        back = [i for i in range(near, end) if grades[i] >= SENTENCE] or [i for i in range(near, end) if grades[i] >= SPACE] or [i for i in range(near, end) if grades[i] > INSIDE]
-        start = next((i for i in (back or [*range(near, end)]) if count(i, end) <= overlap), end)
+        near = max(start + 1, bisect_left(tokens, tokens[end] - overlap))
+        back = [i for i in range(near, end) if grades[i] >= SENTENCE] or [i for i in range(near, end) if grades[i] >= SPACE] or [i for i in range(near, end) if grades[i] > INSIDE] or [*range(near, end)]
+        start = next((i for i in back if count(i, end) <= overlap), end)
 
 
 def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, folder: str = TOKENIZERS) -> DataFrame:
@@ -157,13 +210,16 @@ def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVE
         raise ValueError("limit must be at least 32 tokens and overlap under half of it")
 
     def cut(batches):
-        machine = transducer(folder)
+        machine, units = transducer(folder), Units()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.doc_id, batch.text):
-                if not text or len(text.encode("utf-8")) <= limit or sum(len(ids) for _, ids in machine.words(text)) <= limit:
+                if not text or len(text.encode("utf-8")) <= limit:
+                    continue
+                found = list(machine.words(text))
+                if sum(len(ids) for _, ids in found) <= limit:
                     continue
-                for k, (a, b, n, shared) in enumerate(split_text(machine, text, limit, overlap)):
+                for k, (a, b, n, shared) in enumerate(split_text(machine, text, limit, overlap, units, found)):
                     rows.append((doc_id, k, a, b, n, shared, text[a:b]))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start_char", "end_char", "n_tokens", "shared_tokens", "text"])
 
