@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinlab.llm.bpe import TOKENIZERS, token_count_column
@@ -12,11 +12,13 @@ from skeinlab.runtime import Scratch
 
 CAPACITY = 2_048
 #: Items of a container at most.
-SEGMENTS = 256
-#: Kinds of documents whose tokens bear no loss: they are context for the others.
+SEGMENTS = 64
+#: Loss-bearing tokens of a container at most: a quarter of it is left to context.
+LOSS_CAPACITY = 1_536
+#: Kinds of documents that are context only: machine text, whose tokens bear no loss.
 CONTEXT_KINDS = ("log", "product_page")
 #: Items packed together by one task.
-GROUP_ITEMS = 20_000
+GROUP_ITEMS = 10_000
 #: A group's last containers filled less than this are opened again and packed with those of other groups.
 FULL = 0.98
 
@@ -55,27 +57,26 @@ def fill(demands: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return out
 
 
-def pack_items(items: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS, loss_capacity: int | None = None, group_items: int = GROUP_ITEMS) -> DataFrame:
+def pack_items(items: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS, loss_capacity: int = LOSS_CAPACITY, group_items: int = GROUP_ITEMS) -> DataFrame:
     """container, item, part, start_token, n_tokens, loss_tokens, offset for items (item, n_tokens, loss_tokens).
 
-    An item longer than capacity is cut into full parts and a rest; no other is split. Items are spread by hash over
-    groups of about group_items, each packed by one task under all three limits. The last containers of a group, which
-    end less than FULL, are opened and their items, at most a quarter of the group's, packed again in fewer groups,
-    until one group is left. So the unused space doesn't grow with the number of groups. Items of no tokens are in no container: container and offset are null.
+    An item longer than capacity is cut into full parts and a rest; no other is split. The loss-bearing tokens of an item
+    are its last ones, and each part has those that lie in it; of a part with more than loss_capacity, only the last
+    loss_capacity bear loss. Items are spread by hash over groups of about group_items, each packed by a task of its own
+    under all three limits. The last containers of a group, which end less than FULL, are opened and their items, at
+    most a quarter of the group's, packed again in fewer groups, until one group is left. So the unused space doesn't
+    grow with the number of groups. Items of no tokens are in no container: container and offset are null.
     """
     spark = items.sparkSession
     scratch = Scratch(spark, "packing")
-    loss_capacity = capacity if loss_capacity is None else loss_capacity
-    if not 0 < loss_capacity <= capacity:
-        raise ValueError("loss_capacity must be positive and at most capacity")
-    cut = min(capacity, loss_capacity)
-    parts = items.select(
-        F.col("item").cast("string").alias("item"), "n_tokens", "loss_tokens",
-        F.posexplode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n_tokens") - 1) / cut)).cast("int"))).alias("part", "_"),
-    ).select(
-        "item", "part", (F.col("part").cast("long") * cut).alias("start_token"),
-        F.least(F.lit(cut).cast("long"), F.col("n_tokens") - F.col("part").cast("long") * cut).alias("n_tokens"), "loss_tokens",
-    ).withColumn("loss_tokens", F.least("loss_tokens", "n_tokens"))
+    if not 0 < loss_capacity <= capacity or segments < 1:
+        raise ValueError("loss_capacity must be positive and at most capacity, segments at least 1")
+    at = F.posexplode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n_tokens") - 1) / capacity)).cast("int"))).alias("part", "_")
+    parts = items.select(F.col("item").cast("string").alias("item"), F.col("n_tokens").alias("all"), F.greatest(F.lit(0), F.least("loss_tokens", "n_tokens")).alias("all_loss"), at)
+    start = (F.col("part").cast("long") * capacity).alias("start_token")
+    parts = parts.select("item", "part", start, F.least(F.lit(capacity).cast("long"), F.col("all") - F.col("part").cast("long") * capacity).alias("n_tokens"), (F.col("all") - F.col("all_loss")).alias("loss_from"))
+    bearing = F.col("start_token") + F.col("n_tokens") - F.greatest("start_token", "loss_from")
+    parts = parts.select("item", "part", "start_token", "n_tokens", F.greatest(F.lit(0), F.least(bearing, F.lit(loss_capacity))).cast("long").alias("loss_tokens"))
     parts = scratch.cut(parts)
     done = [scratch.write(parts.where("n_tokens <= 0").select(F.lit(None).cast("string").alias("container"), "*", F.lit(None).cast("long").alias("offset")))]
     left, level = parts.where("n_tokens > 0"), 0
@@ -100,7 +101,7 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, segments: int = SEGME
         groups = max(1, -(-n // group_items))
         key = F.pmod(F.xxhash64("item", "part", F.lit(level)), F.lit(groups)).alias("group")
         packed = left.select(key, F.lit(level).alias("level"), *[c for c in left.columns if c in ("item", "part", "start_token", "n_tokens", "loss_tokens")])
-        table = scratch.read(scratch.write(packed.groupBy("group", "level").applyInPandas(pack, schema)), left.sparkSession.createDataFrame([], schema).schema)
+        table = scratch.read(scratch.write(packed.repartition(groups, "group").groupBy("group", "level").applyInPandas(pack, schema)), left.sparkSession.createDataFrame([], schema).schema)
         last = groups == 1
         keep = table if last else table.where("not is_open")
         done.append(scratch.write(keep.drop("is_open")))
@@ -123,3 +124,27 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, folder: str =
     items = sized.select(F.col("doc_id").alias("item"), "n_tokens", loss.alias("loss_tokens"))
     at = pack_items(items, capacity, **limits)
     return at.select("container", F.col("item").cast("long").alias("doc_id"), "part", "start_token", "n_tokens", "loss_tokens", "offset")
+
+
+def container_fill(packed: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS, loss_capacity: int = LOSS_CAPACITY) -> DataFrame:
+    """One row: containers, how far each limit is used over all of them, and in how many containers it is reached to FULL."""
+    c = packed.where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("tokens"), F.sum("loss_tokens").alias("loss"), F.count("*").alias("items"))
+    used = {"tokens": capacity, "loss": loss_capacity, "items": segments}
+    return c.agg(
+        F.count("*").alias("containers"), *[(F.avg(k) / n).alias(f"{k}_used") for k, n in used.items()],
+        *[F.count_if(F.col(k) >= FULL * n).alias(f"{k}_full") for k, n in used.items()],
+    )
+
+
+def faults(packed: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS, loss_capacity: int = LOSS_CAPACITY) -> DataFrame:
+    """Per document, how many of its parts are wrong: parts that don't follow one another, offsets that don't follow one
+    another in the container, containers beyond a limit. All are 0."""
+    by_item = Window.partitionBy("doc_id").orderBy("part")
+    by_container = Window.partitionBy("container")
+    before = F.sum("n_tokens").over(by_container.orderBy("offset", "doc_id", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens")
+    total = lambda c: F.sum(c).over(by_container)
+    wrong = (F.col("offset") != before) | (total("n_tokens") > capacity) | (total("loss_tokens") > loss_capacity) | (total(F.lit(1)) > segments)
+    gap = F.col("start_token") != F.coalesce(F.lag(F.col("start_token") + F.col("n_tokens")).over(by_item), F.lit(0))
+    spread = packed.withColumn("container", F.coalesce("container", F.concat(F.lit("none"), F.col("doc_id").cast("string"))))  # else all without one meet in a task
+    spread = spread.withColumn("wrong", F.when(F.col("container").startswith("none"), F.col("n_tokens") != 0).otherwise(wrong)).withColumn("gap", gap)
+    return spread.groupBy("doc_id").agg(F.count_if("wrong").alias("wrong_parts"), F.count_if("gap").alias("gaps"))

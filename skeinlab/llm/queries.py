@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skeinlab.llm import abuse, bpe, components, overlaps, packing, percentiles, segmentation
-from skeinlab.runtime import read_table
+from skeinlab.runtime import Scratch, read_table
 
 
 def p3_found(spark, d):
@@ -63,8 +63,23 @@ def p9_pieces(spark, d):
     return segmentation.split_documents(read_table(spark, d, "documents"))
 
 
+def p8_fill(spark, d):
+    fill = packing.container_fill(packing.pack_documents(read_table(spark, d, "documents")))
+    return fill.select(*[F.round(c, 4).alias(c) if t == "double" else c for c, t in fill.dtypes])
+
+
+def p8_faults(spark, d):
+    return packing.faults(packing.pack_documents(read_table(spark, d, "documents")))
+
+
+def p9_rebuilt(spark, d):
+    documents = read_table(spark, d, "documents")
+    return segmentation.rebuilt(documents, Scratch(spark, "pieces").cut(segmentation.split_documents(documents)))
+
+
 def queries():
-    return {f.__name__: f for f in (p3_found, p3_splits, p4_found, p4_counts, p5_found, p5_scores, p5_rates, p6_percentiles, p7_ids, p7_decoded, p8_containers, p9_pieces)}
+    every = (p3_found, p3_splits, p4_found, p4_counts, p5_found, p5_scores, p5_rates, p6_percentiles, p7_ids, p7_decoded, p8_containers, p8_fill, p8_faults, p9_pieces, p9_rebuilt)
+    return {f.__name__: f for f in every}
 
 
 _P3 = """
@@ -87,5 +102,7 @@ def oracle_sql():
         "p3_found": _P3,
         "p6_percentiles": f"with t as (select distinct * from thread_metrics_summary where thread_id is null or thread_id <> '__summary_mean__'), l as ({long}) "
         f"select model, product_category, metric, count(*) as n, {ps}, 0.0::double as max_error from l where v is not null and isfinite(v) group by all",
+        "p8_faults": "select doc_id, 0 as wrong_parts, 0 as gaps from documents",
+        "p9_rebuilt": "select doc_id, text from documents where text is not null",
         "p7_decoded": "select doc_id, coalesce(text, '') as text from documents",
     }

@@ -9,7 +9,8 @@ from math import sqrt
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from skeinlab.llm.bpe import TOKENIZERS, Transducer, transducer
 
@@ -224,3 +225,11 @@ def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVE
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start_char", "end_char", "n_tokens", "shared_tokens", "text"])
 
     return documents.select("doc_id", "text").mapInPandas(cut, PIECES)
+
+
+def rebuilt(documents: DataFrame, pieces: DataFrame) -> DataFrame:
+    """doc_id and text of every document with a text, from its pieces where it has any: what each adds to the last."""
+    last_end = F.coalesce(F.lag("end_char").over(Window.partitionBy("doc_id").orderBy("piece")), F.lit(0))
+    added = pieces.withColumn("added", F.substring("text", (last_end - F.col("start_char") + 1).cast("int"), F.length("text")))
+    whole = added.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "added"))), lambda x: x.added), "").alias("joined"))
+    return documents.where("text is not null").select("doc_id", "text").join(whole, "doc_id", "left").select("doc_id", F.coalesce("joined", "text").alias("text"))

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -31,7 +33,7 @@ def test_items_are_placed_once_and_whole(spark, group_items):
     at = packing.pack_items(items, 128, 8, 100, group_items=group_items).collect()
     assert sum(r.n_tokens for r in at) == sum(n for _, n, _ in rows)
     assert [r.container for r in at if r.item == "none"] == [None]
-    assert sorted((r.part, r.start_token, r.n_tokens) for r in at if r.item == "long") == sorted(2 * [(p, 100 * p, 100 if p < 4 else 50) for p in range(5)])
+    assert sorted((r.part, r.start_token, r.n_tokens) for r in at if r.item == "long") == sorted(2 * [(p, 128 * p, 128 if p < 3 else 66) for p in range(4)])
     bins = {}
     for r in at:
         if r.container:
@@ -42,6 +44,19 @@ def test_items_are_placed_once_and_whole(spark, group_items):
         assert all(a + n <= b for (a, n), (b, _) in zip(at_, at_[1:]) if n) and at_[0][0] == 0
 
 
+def test_loss_is_spread_over_parts(spark):
+    items = spark.createDataFrame([("a", 300, 100), ("b", 300, 250), ("c", 90, 500)], "item string, n_tokens long, loss_tokens long")
+    at = packing.pack_items(items, 128, 8, 120).collect()
+    assert {(r.item, r.part): r.loss_tokens for r in at} == {("a", 0): 0, ("a", 1): 56, ("a", 2): 44, ("b", 0): 78, ("b", 1): 120, ("b", 2): 44, ("c", 0): 90}
+
+
+def test_faults_are_seen(spark):
+    rows = [("x", 1, 0, 0, 100, 0, 0), ("x", 2, 0, 0, 50, 0, 100), ("y", 3, 0, 0, 90, 0, 0), ("y", 4, 0, 0, 60, 0, 80), (None, 5, 0, 0, 0, 0, None), ("z", 6, 1, 10, 5, 0, 0)]
+    packed = spark.createDataFrame(rows, "container string, doc_id long, part int, start_token long, n_tokens long, loss_tokens long, offset long")
+    found = {r.doc_id: (r.wrong_parts, r.gaps) for r in packing.faults(packed, 160, 8, 100).collect()}
+    assert found == {1: (0, 0), 2: (0, 0), 3: (0, 0), 4: (1, 0), 5: (0, 0), 6: (0, 1)}
+
+
 def test_documents_of_all_kinds(spark):
     d = spark.createDataFrame([(1, "some words here", "comment"), (2, "x y z " * 3000, "log"), (3, None, None), (4, "", "post"), (1, "some words here", "comment")], "doc_id long, text string, kind string")
     at = packing.pack_documents(d).collect()
@@ -95,6 +110,37 @@ def test_valleys():
     assert max(range(5), key=depths.__getitem__) == 2
 
 
+def test_valleys_equal_plain_counts():
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in rng.integers(0, 30, 400)]
+    at = [0, 3, 50, 51, 120, 260, 390, 400]
+
+    def like(a, b):
+        x, y = Counter(a), Counter(b)
+        size = sum(n * n for n in x.values()) * sum(n * n for n in y.values())
+        return sum(n * y[w] for w, n in x.items()) / size**0.5 if size else 0.0
+
+    sims = [like(words[max(0, p - 40) : p], words[p : p + 40]) for p in at]
+    left, right = sims[:], sims[:]
+    for i in range(1, len(at)):
+        left[i] = max(sims[i - 1], left[i - 1]) if sims[i - 1] >= sims[i] else sims[i]
+    for i in range(len(at) - 2, -1, -1):
+        right[i] = max(sims[i + 1], right[i + 1]) if sims[i + 1] >= sims[i] else sims[i]
+    assert segmentation.valley_depths(words, at) == pytest.approx([a + b - 2 * s for a, b, s in zip(left, right, sims)])
+
+
+def test_natural_end_in_the_first_half_is_found():
+    text = "A short start. " * 10 + "word " * 900
+    parts = check(text, 512, 64)
+    assert text[: parts[0][1]].rstrip().endswith(".")
+
+
+def test_rebuilt(spark):
+    texts = [(1, "short"), (2, "One sentence here. " * 400), (3, None), (4, ""), (5, "x" * 9000)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted(tuple(r) for r in segmentation.rebuilt(d, segmentation.split_documents(d)).collect()) == [t for t in texts if t[1] is not None]
+
+
 def test_documents_and_bad_limits(spark):
     d = spark.createDataFrame([(1, "short", 1), (2, "One sentence here. " * 400, 1), (3, None, 1), (4, "", 1)], "doc_id long, text string, piece int")
     rows = segmentation.split_documents(d).orderBy("piece").collect()
