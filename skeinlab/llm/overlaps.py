@@ -32,13 +32,13 @@ MOST_BLOCKED = 10_000
 BUCKETS = 1 << 18
 #: Bits of a filter of signatures; collected once per side, whatever the size of the data.
 FILTER_BITS = 1 << 26
-#: Counters of a record's word sketch, which bounds its words in common with another.
+#: Counters of a record's word sketch, four bits each in two longs, which bounds its words in common with another.
 SKETCH = 32
 #: Records of one signature compared by one task; where longest signatures have more, they are compared in blocks.
 BLOCK = 2_000
 
 MEMBERS = "field_name string, rec_id string, is_train boolean, split string, subreddit string, class binary, n int, words binary"
-MARKS = "prefix long, id long, n int, sketch binary, is_train boolean, is_eval boolean"
+MARKS = "prefix long, id long, about long, sketch_a long, sketch_b long"
 
 
 def clean_splits(splits: DataFrame) -> DataFrame:
@@ -215,14 +215,24 @@ def popular_filters(classes: DataFrame, counts) -> tuple[list, dict[int, int]]:
         popular = [*popular, sc.broadcast(found)]
 
 
-def _sketch(t: np.ndarray) -> bytes:
-    """SKETCH counters up to 15, two to a byte."""
-    c = np.minimum(np.bincount(t % SKETCH, minlength=SKETCH), 15).astype(np.uint8)
-    return (c[::2] | (c[1::2] << 4)).tobytes()
+def _sketches(texts: list[np.ndarray]) -> np.ndarray:
+    """For each text SKETCH counters up to 15, in two 64-bit numbers."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    words = np.concatenate(texts) if len(texts) else np.zeros(0, dtype=np.uint32)
+    at = np.repeat(np.arange(len(texts)), sizes) * SKETCH + words % SKETCH
+    c = np.minimum(np.bincount(at, minlength=len(texts) * SKETCH), 15).astype(np.uint64).reshape(len(texts), 2, SKETCH // 2)
+    return (c << (np.arange(SKETCH // 2, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
+
+
+def _counters(sketches: np.ndarray) -> np.ndarray:
+    """The counters again, one row a text."""
+    shifts = np.arange(SKETCH // 2, dtype=np.uint64) * np.uint64(4)
+    return ((sketches[:, :, None] >> shifts) & np.uint64(15)).astype(np.uint8).reshape(len(sketches), SKETCH)
 
 
 def _marks(counts, popular, of_eval, of_train):
-    """Signatures that the other split may have, each with its class's id, length and sketch."""
+    """Signatures that the other split may have, each with its class's id, sketch, and about: its length times four and
+    whether it is among train (2) and evaluation records (1)."""
 
     def make(batches):
         for b in batches:
@@ -230,8 +240,8 @@ def _marks(counts, popular, of_eval, of_train):
             train, evaluated = b.has_train.to_numpy(bool), b.has_eval.to_numpy(bool)
             keep = (train[g.rec] & _among(of_eval.value, g)) | (evaluated[g.rec] & _among(of_train.value, g))
             rec, h = g.rec[keep], g.hash[keep]
-            sketch = np.array([_sketch(t) for t in g.texts], dtype=object)
-            yield pd.DataFrame({"prefix": h.view(np.int64), "id": b.id.to_numpy()[rec], "n": g.sizes[rec], "sketch": sketch[rec], "is_train": train[rec], "is_eval": evaluated[rec]})
+            sketch, about = _sketches(g.texts).view(np.int64), g.sizes * 4 + train * 2 + evaluated
+            yield pd.DataFrame({"prefix": h.view(np.int64), "id": b.id.to_numpy()[rec], "about": about[rec], "sketch_a": sketch[rec, 0], "sketch_b": sketch[rec, 1]})
 
     return make
 
@@ -242,11 +252,11 @@ def _met(batches):
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
         key, part = rows.prefix.to_numpy(), rows.part.to_numpy()
         run = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (part[1:] != part[:-1]))])
-        size, kind = rows.n.to_numpy(np.int64), rows.id.to_numpy()
-        halves = np.frombuffer(b"".join(rows.sketch), dtype=np.uint8).reshape(len(rows), SKETCH // 2)
-        sketch = np.concatenate([halves & 15, halves >> 4], axis=1)
+        about, kind = rows.about.to_numpy(np.int64), rows.id.to_numpy()
+        size = about >> 2
+        sketch = _counters(rows[["sketch_a", "sketch_b"]].to_numpy(np.int64).view(np.uint64))
         full = (sketch == 15).any(axis=1)
-        train, evaluated = np.flatnonzero(rows.is_train), np.flatnonzero(rows.is_eval)
+        train, evaluated = np.flatnonzero(about & 2), np.flatnonzero(about & 1)
         wide = int(size.max()) * 2 + 2
         at = run[train] * wide + size[train]
         order = np.argsort(at, kind="stable")
@@ -347,7 +357,7 @@ def split_overlaps(comments: DataFrame, splits: DataFrame) -> DataFrame:
     classes = scratch.cut(members.groupBy("class").agg(
         F.max("field_name").alias("field_name"), F.max("words").alias("words"), F.max("n").alias("n"),
         F.bool_or("is_train").alias("has_train"), F.bool_or(~F.col("is_train")).alias("has_eval"),
-    ).withColumn("id", F.xxhash64("class")))
+    ).withColumn("id", F.monotonically_increasing_id()))  # written, so it stays
     pairs = scratch.cut(similar_words(classes, scratch).distinct())
     ids = scratch.cut(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct())
     texts = scratch.cut(lookup_join(classes.select("id", "class", "words"), ids, "id", "inner", 40))
@@ -373,8 +383,8 @@ def _dealt(wide: DataFrame) -> DataFrame:
     others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     none = F.array().cast("array<long>")
     cells = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.concat(
-        F.when(F.col("is_train"), F.transform(others, lambda x: mine * F.col("blocks") + x)).otherwise(none),
-        F.when(F.col("is_eval"), F.transform(others, lambda x: x * F.col("blocks") + mine)).otherwise(none),
+        F.when(F.col("about").bitwiseAND(2) > 0, F.transform(others, lambda x: mine * F.col("blocks") + x)).otherwise(none),
+        F.when(F.col("about").bitwiseAND(1) > 0, F.transform(others, lambda x: x * F.col("blocks") + mine)).otherwise(none),
     )))
     return wide.withColumn("part", F.explode(cells)).drop("blocks")
 
