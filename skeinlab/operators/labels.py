@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skeinlab.operators.prefix import order_statistics, running_totals
+from skeinlab.runtime import Scratch
+
 POLITENESS = ("polite", "somewhat_polite", "neutral", "impolite")
 TOXICITY = ("toxicity", "severe_toxicity", "obscene", "threat", "insult", "identity_attack")
 
@@ -90,3 +93,27 @@ def wide(parts: list[DataFrame], key: str = "thread_id") -> DataFrame:
     rows = [p.select(key, F.lit(i).alias("_i"), *[F.col(c) if c in p.columns else F.lit(None).cast(types[c]).alias(c) for c in names]) for i, p in enumerate(parts)]
     both = reduce(DataFrame.unionByName, rows)
     return both.groupBy(key).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_i"))).alias(c) for c in names])
+
+
+def pair_scores(pairs: DataFrame, comments: DataFrame, top_k: int = 1) -> DataFrame:
+    """Per thread of scored comment pairs (thread_id, precision, recall, f1; left is the candidate, right the reference):
+    pairs, means, median, mean of the top_k, 90th percentile, least and greatest f1; 0 for threads without pairs.
+
+    Quantiles come from one range-partitioned order of the different values, and of each thread only the top_k of every
+    part meet in a task, so a thread may have any number of pairs.
+    """
+    scratch = Scratch(pairs.sparkSession, "pairscores")
+    pairs = scratch.cut(pairs.select("thread_id", "precision", "recall", F.col("f1").alias("value")))
+    run = running_totals(pairs.groupBy("thread_id", "value").agg(F.count("*").alias("n")), ["thread_id"], "value", ["n"])
+    q = order_statistics(run, ["thread_id"], "value", "n", [0.5, 0.9]).groupBy("thread_id").agg(
+        F.max(F.when(F.col("prob") == 0.5, F.col("q"))).alias("median_f1"), F.max(F.when(F.col("prob") == 0.9, F.col("q"))).alias("p90_f1")
+    )
+    part = Window.partitionBy("thread_id", F.pmod(F.xxhash64("precision", "recall", "value"), F.lit(64))).orderBy(F.desc("value"))
+    first = pairs.withColumn("place", F.row_number().over(part)).where(F.col("place") <= top_k)
+    top = first.groupBy("thread_id").agg(F.expr(f"aggregate(slice(sort_array(collect_list(value), false), 1, {int(top_k)}), 0D, (a, x) -> a + x)").alias("s"), F.least(F.count("*"), F.lit(top_k)).alias("k"))
+    means = pairs.groupBy("thread_id").agg(
+        F.count("*").alias("pair_count"), F.avg("precision").alias("mean_precision"), F.avg("recall").alias("mean_recall"), F.avg("value").alias("mean_f1"), F.min("value").alias("min_f1"), F.max("value").alias("max_f1")
+    )
+    found = means.join(q, "thread_id").join(top.select("thread_id", (F.col("s") / F.col("k")).alias("top_k_mean_f1")), "thread_id")
+    threads = comments.groupBy("thread_id").agg(F.count("*").alias("comment_count"))
+    return threads.join(found, "thread_id", "left").na.fill(0, ["pair_count"]).na.fill(0.0, ["mean_precision", "mean_recall", "mean_f1", "median_f1", "top_k_mean_f1", "p90_f1", "min_f1", "max_f1"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skeinlab.functions.metrics import CORE, FAMILIES, GROUPS, METRICS, SELECTION
 from skeinlab.operators import calibration as C
 from skeinlab.operators import comparison as B
+from skeinlab.operators import diagnosis as D
 from skeinlab.operators import twosample as S
 from skeinlab.plans.registry import Registry
 from skeinlab.runtime import Scratch, read_table
@@ -298,13 +299,8 @@ _TIER = "case when smed > r90 or smed < r10 then (case when abs(pr - 0.5) * 2 >=
 
 @query(f"with {EVAL} select domain, model, metric, {_TIER} as tier, row_number() over (partition by domain, model order by case {_TIER} when 'critical' then 0 when 'secondary' then 1 else 2 end, round(abs(pr - 0.5) * 2, 9) desc, round(abs(mg), 3) desc, metric) as place from ev")
 def severity_tiers(spark, d):
-    from pyspark.sql.window import Window
-
     run = _run(spark, d)
-    s = C.severity(_robust(spark, d, run), _evaluated(spark, d, run))
-    order = F.when(F.col("tier") == "critical", 0).when(F.col("tier") == "secondary", 1).otherwise(2)
-    w = Window.partitionBy("domain", "model").orderBy(order, F.desc(F.round("percentile_distance", 9)), F.desc(F.round(F.abs("robust_z"), 3)), "metric")
-    return s.select(*KEYS, "tier", F.row_number().over(w).alias("place"))
+    return D.by_severity(C.severity(_robust(spark, d, run), _evaluated(spark, d, run))).select(*KEYS, "tier", "place")
 
 
 _BA = f"""{EVAL}, ba as (select x.domain, x.metric, abs(x.delta) - abs(y.delta) rd, x.w - y.w rw, x.qe - y.qe rq, abs(x.gap) - abs(y.gap) rg, abs(x.mg) - abs(y.mg) rm, x.fail - y.fail rf, abs(x.real_mean - x.sim_mean) - abs(x.real_mean - y.sim_mean) rn, x.delta bd, y.delta ad, x.w bw, y.w aw, x.fail bf, y.fail af
