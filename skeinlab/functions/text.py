@@ -107,3 +107,39 @@ def brand_of_url(url: Column | str) -> Column:
 
 def is_informative(phrase_tokens: Column) -> Column:
     return F.exists(phrase_tokens, lambda w: ~w.isin(*LOW_SIGNAL))
+
+
+def title_key(title: Column | str) -> Column:
+    """Titles compared without case and with single blanks; null is empty."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(title) if isinstance(title, str) else title, F.lit(""))), r"\s+", " "))
+
+
+def json_object(raw: Column) -> Column:
+    """The JSON object in a text that may be fenced, have words around it, or commas before closing brackets; null if
+    there is none. Nested objects stay within it."""
+    bare = F.regexp_replace(F.trim(raw), r"(?im)^\s*```(?:json)?\s*$", "")
+    fixed = lambda t: F.regexp_replace(t, r",\s*([}\]])", "$1")
+    found = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    good = lambda t: F.when(F.try_parse_json(t).isNotNull() & t.startswith("{"), t)
+    return F.coalesce(good(F.trim(bare)), good(F.trim(fixed(bare))), good(found), good(fixed(found)))
+
+
+def json_or_content(info: Column) -> Column:
+    """info if it is a JSON object, else an object whose content it is; null and empty info give an empty object."""
+    return F.when(F.coalesce(F.trim(info), F.lit("")) == "", F.lit("{}")).when(F.try_parse_json(info).isNotNull() & F.trim(info).startswith("{"), info).otherwise(F.to_json(F.struct(info.alias("content"))))
+
+
+def bounded(raw: Column, low: float, high: float, default: float) -> Column:
+    """raw as a number between low and high; default where it is none."""
+    x = raw.cast("string").try_cast("double")
+    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), F.when(x.isNull() | F.isnan(x), F.lit(float(default))).otherwise(x)))
+
+
+def shown(x: Column, digits: int = 3) -> Column:
+    """A number for display; n/a where there is none."""
+    return F.when(x.isNull() | F.isnan(x), "n/a").otherwise(F.format_string(f"%.{digits}f", x))
+
+
+def without_blank_runs(text: Column) -> Column:
+    """Lines without trailing blanks, and never more than one empty line in a row."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[ \t]+(?=\n|$)", ""), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")

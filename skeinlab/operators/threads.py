@@ -185,6 +185,7 @@ def ranked_comments(comments: DataFrame, n: int) -> DataFrame:
 
 def comments_with_titles(comments: DataFrame, posts: DataFrame) -> DataFrame:
     """Comments with the title of their post, empty if the post isn't there; the posts are broadcast if they fit."""
-    one = posts.groupBy(own_id("post_id").alias("post_id")).agg(F.min_by("title", "retrieved_at").alias("found_title"))
+    first = F.min(F.struct(F.col("retrieved_at").isNull(), "retrieved_at", F.col("title").isNull(), "title"))
+    one = posts.groupBy(own_id("post_id").alias("post_id")).agg(first.alias("f")).select("post_id", F.col("f.title").alias("found_title"))
     c = comments.select(own_id("comment_id").alias("comment_id"), own_id("post_id").alias("post_id"))
     return lookup_join(c, Scratch(comments.sparkSession, "titles").cut(one), "post_id", row_bytes=128).select("comment_id", "post_id", F.coalesce("found_title", F.lit("")).alias("title"))

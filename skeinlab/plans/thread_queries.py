@@ -118,7 +118,7 @@ def reply_pairs(spark, d):
 
 
 def _post_titles():
-    return f"(select {_id('post_id')} post_id, arg_min(title, retrieved_at) title from posts group by 1)"
+    return f"(select {_id('post_id')} post_id, min(struct_pack(a := retrieved_at is null, b := retrieved_at, c := title is null, title)).title title from posts group by 1)"
 
 
 @query(f"select {_id('c.comment_id')} as comment_id, {_id('c.post_id')} as post_id, coalesce(p.title, '') as title from comments c left join {_post_titles()} p on p.post_id = {_id('c.post_id')}")

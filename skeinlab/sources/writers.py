@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,3 +70,11 @@ def splice(page: str, rows: list[str], name: str) -> str:
 def rank(df: DataFrame, order: list) -> DataFrame:
     """With place from 1 in the given order; for boards and rankings of few rows."""
     return df.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def write_object(spark, value: dict, path: str) -> None:
+    """One small JSON object (an overlay, a checkpoint) as a file of its own."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(json.dumps(value, indent=2).encode()))
+    out.close()
