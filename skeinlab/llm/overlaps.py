@@ -20,7 +20,7 @@ SIMILARITY = 0.8
 #: Words of the shortest shared span that counts as covered. Pairs without one are found by their rarest words.
 SPAN = 6
 #: A signature of more records than this (as counted in the sample) gets a further word, up to DEEPEST words.
-POPULAR = 3_000
+POPULAR = 6_000
 DEEPEST = 4
 #: From this many classes on, one class in SAMPLE is counted to tell popular signatures.
 SAMPLE, SAMPLE_FROM = 8, 50_000
