@@ -57,12 +57,13 @@ def rooted(comments: DataFrame) -> DataFrame:
     return salted_join(c, ids, "up").select("comment_id", "thread_id", F.when(F.col("kept"), F.col("up")).alias("parent"))
 
 
-def depths(comments: DataFrame) -> DataFrame:
-    """thread_id, comment_id, parent, depth (1 for a root), root, path; comments on or below a loop are never reached."""
+def depths(comments: DataFrame, with_sizes: bool = False) -> DataFrame:
+    """thread_id, comment_id, parent, depth (1 for a root), root, and size of the subtree if asked for; comments on or
+    below a loop are never reached."""
     scratch = Scratch(comments.sparkSession, "depths")
     r = scratch.cut(rooted(comments))
-    solved = contract(r.select("comment_id", "parent", F.when(F.col("parent").isNull(), F.col("comment_id")).alias("post")), with_paths=True, scratch=scratch)
-    return r.join(solved.where("state = 'tree'").select("comment_id", (F.col("depth") + 1).alias("depth"), "root", "path"), "comment_id", "left")
+    solved = contract(r.select("comment_id", "parent", F.when(F.col("parent").isNull(), F.col("comment_id")).alias("post")), scratch=scratch, with_sizes=with_sizes)
+    return r.join(solved.where("state = 'tree'").select("comment_id", (F.col("depth") + 1).alias("depth"), "root", *(["size"] if with_sizes else [])), "comment_id", "left")
 
 
 def depth_stats(d: DataFrame) -> DataFrame:
@@ -76,24 +77,14 @@ def branching(d: DataFrame) -> DataFrame:
     return d.select("thread_id").distinct().join(per, "thread_id", "left").select("thread_id", F.coalesce("b", F.lit(0.0)).alias("avg_branching_factor"))
 
 
-def subtree_sizes(d: DataFrame) -> DataFrame:
-    """comment_id, parent, root, thread_id, size: a comment counts once for itself and for each comment on its path.
-
-    The counts are combined where the paths are read, so the work is the sum of the depths.
-    """
-    reached = d.where("depth is not null")
-    counts = reached.select(F.explode("path").alias("comment_id")).groupBy("comment_id").agg(F.count("*").alias("below"))
-    return reached.select("comment_id", "parent", "root", "thread_id").join(counts, "comment_id", "left").withColumn("size", F.coalesce("below", F.lit(0)) + 1).drop("below")
-
-
 def structural_virality(comments: DataFrame, d: DataFrame | None = None) -> DataFrame:
     """Mean distance of the connected pairs of a thread's comments.
 
     Every edge of a tree of n nodes lies on s*(n-s) of its paths, s being the size of the subtree below, so the sum of
     distances needs no pairs.
     """
-    d = depths(comments) if d is None else d
-    sizes = Scratch(comments.sparkSession, "sizes").cut(subtree_sizes(d))
+    d = Scratch(comments.sparkSession, "sizes").cut(depths(comments, with_sizes=True)) if d is None else d
+    sizes = d.where("depth is not null")
     trees = sizes.where("parent is null").select("root", F.col("size").alias("n"))
     edges = sizes.where("parent is not null").join(trees, "root").groupBy("thread_id").agg(F.sum(F.col("size") * (F.col("n") - F.col("size"))).alias("total"))
     pairs = sizes.where("parent is null").groupBy("thread_id").agg(F.sum(F.col("size") * (F.col("size") - 1) / 2).alias("pairs"))
@@ -105,7 +96,7 @@ def thread_structure(comments: DataFrame) -> DataFrame:
     """One row per thread with all shape metrics."""
     scratch = Scratch(comments.sparkSession, "structure")
     comments = scratch.cut(comments.select("thread_id", "comment_id", "parent_id", "text"))
-    d = scratch.cut(depths(comments))
+    d = scratch.cut(depths(comments, with_sizes=True))
     out = length_stats(comments).drop("length_mean")
     for part in (depth_stats(d), branching(d), structural_virality(comments, d)):
         out = out.join(part, "thread_id", "left")

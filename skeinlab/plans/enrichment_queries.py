@@ -56,9 +56,9 @@ def product_opinions(spark, d):
     return E.opinions_on_products(spelled, p).select("opinion", "product_id", "product_title")
 
 
-@query("""with pr as (select product_id, row_number() over (order by product_id) - 1 i from (select distinct product_id from products where product_id is not null)), pool as (select * from pr where i < 60), n as (select count(*) n from pool),
+@query("""with pr as (select product_id, row_number() over (order by product_id) - 1 i from (select distinct product_id from products where product_id is not null)), pool as materialized (select * from pr where i < 60), size as (select count(*) n from pool),
 u as (select c_custkey profile from customer), t as (select unnest(range(3)) place),
-x as (select u.profile, t.place, (u.profile + t.place) % (select n from n) i from u, t) select x.profile, x.place, pool.product_id from x join pool using (i)""")
+x as (select u.profile, t.place, (u.profile + t.place) % (select n from size) i from u, t) select x.profile, x.place, pool.product_id from x join pool using (i)""")
 def rotated_products(spark, d):
     from pyspark.sql import Window
 

@@ -27,7 +27,7 @@ def test_contract_equals_walking(spark, seed):
     shapes = [lambda i: None if i == 0 else names[i - 1], lambda i: None if i < 3 else names[rng.randrange(i)], lambda i: names[rng.randrange(n)], lambda i: None if i % 9 == 0 else names[rng.randrange(n)]]
     parent = {names[i]: shapes[seed](i) for i in range(n)}
     df = spark.createDataFrame([(v, p, "post" if p is None else None) for v, p in parent.items()], "comment_id string, parent string, post string")
-    rows = H.contract(df, with_paths=True).collect()
+    rows = H.contract(df, with_paths=True, with_sizes=True).collect()
     want = brute(parent)
     assert {r.comment_id: (r.state, r.depth) for r in rows} == want
     for r in rows:
@@ -37,6 +37,14 @@ def test_contract_equals_walking(spark, seed):
                 path.insert(0, x)
                 x = parent[x]
             assert list(r.path) == path and r.root == "post"
+    below = dict.fromkeys(parent, 0)
+    for v in parent:
+        x, seen = v, set()
+        while x is not None and x not in seen:
+            seen.add(x)
+            below[x] += 1
+            x = parent[x]
+    assert {r.comment_id: r.size for r in rows if r.state != "cycle"} == {r.comment_id: below[r.comment_id] for r in rows if r.state != "cycle"}
 
 
 def test_problems(spark):
