@@ -25,6 +25,8 @@ TOKENIZERS = "/opt/tokenizers"
 #: Words kept with their tokens, and states kept, by one worker; beyond that they are made anew.
 WORDS_KEPT = 300_000
 STATES_KEPT = 100_000
+#: Neighbouring tokens of which it is kept whether they can be.
+PAIRS_KEPT = 500_000
 
 # The public pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -85,6 +87,8 @@ class Transducer:
         if found is None:
             head = self.token_bytes[before] if before >= 0 else b""
             found = self._merged(head + self.token_bytes[token]) == ([before, token] if before >= 0 else [token])
+            if len(self._pairs) >= PAIRS_KEPT:
+                self._pairs.clear()
             self._pairs[before, token] = found
         return found
 

@@ -62,10 +62,11 @@ def percentiles(state: DataFrame, percents=PERCENTS, group=GROUP, partitions: in
     placed = ranged.withColumn("upto", running)
     same = [placed.part == offsets.part] + [placed[k].eqNullSafe(offsets[k]) for k in keys]
     placed = placed.join(offsets, same).select(*[placed[k] for k in keys], "value", "n", (F.col("before") + F.col("upto")).alias("end"), "total")
-    at = F.explode(F.array(*[F.lit(p) for p in percents]))
-    spots = placed.select("*", at.alias("percent")).withColumn("h", (F.col("total") - 1) * F.col("percent") / F.lit(100.0))
     inside = lambda i: (i >= F.col("end") - F.col("n")) & (i < F.col("end"))
-    spots = spots.withColumn("low", F.when(inside(F.floor("h")), F.col("value"))).withColumn("high", F.when(inside(F.ceil("h")), F.col("value"))).where("low is not null or high is not null")
+    spot = lambda p: (F.col("total") - 1) * p / F.lit(100.0)
+    near = F.filter(F.array(*[F.lit(p) for p in percents]), lambda p: inside(F.floor(spot(p))) | inside(F.ceil(spot(p))))  # most values are at none
+    spots = placed.select("*", F.explode(near).alias("percent")).withColumn("h", spot(F.col("percent")))
+    spots = spots.withColumn("low", F.when(inside(F.floor("h")), F.col("value"))).withColumn("high", F.when(inside(F.ceil("h")), F.col("value")))
     found = spots.groupBy(*keys, "percent").agg(F.max("low").alias("low"), F.max("high").alias("high"), F.max("h").alias("h"), F.max("total").alias("total"))
     value = F.col("low") + (F.col("high") - F.col("low")) * (F.col("h") - F.floor("h"))
     one = lambda p: F.max(F.when(F.col("percent") == p, value)).alias(f"p{p}")
