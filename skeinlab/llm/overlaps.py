@@ -333,18 +333,8 @@ def _covered(a: np.ndarray, c: np.ndarray) -> tuple[int, int]:
     return int(covers[0].sum()), int(covers[1].sum())
 
 
-def split_overlaps(comments: DataFrame, splits: DataFrame) -> DataFrame:
-    """Pairs of a train and an evaluation record that are the same or nearly: field_name, train_id, eval_id, split,
-    subreddit (both of the evaluation record), train_words, eval_words, common, train_covered, eval_covered.
-
-    Records are bodies (by comment) and titles (by post) with enough words and a known split. Equal word sequences are
-    one class. Classes that share a signature (a set of their rarest words, see Signatures) are candidates, which leaves
-    out no pair with SIMILARITY of the words in common, however they are scattered, unless lengths or word sketches rule it out. Candidates are verified on their whole
-    texts, and the spans they share merged into each record's coverage. No partner is dropped: the
-    longest signatures of many records are compared in blocks. Null and short texts are no records; with several texts a record counts by any of them.
-    """
-    spark = comments.sparkSession
-    scratch = Scratch(spark, "overlaps")
+def records(comments: DataFrame, splits: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Records with enough words and a known split, and their classes: the different word sequences of a field."""
     known = scratch.cut(clean_splits(splits))
     rows = comments.select(own_id("post_id").alias("post_id"), own_id("comment_id").alias("comment_id"), "post_title", "body", "subreddit")
     long_enough = lambda c, n: (F.length(c) >= n) | (F.octet_length(c) > F.length(c))  # noqa: E731  ASCII words take two characters each; other letters may fold to several words
@@ -358,6 +348,21 @@ def split_overlaps(comments: DataFrame, splits: DataFrame) -> DataFrame:
         F.max("field_name").alias("field_name"), F.max("words").alias("words"), F.max("n").alias("n"),
         F.bool_or("is_train").alias("has_train"), F.bool_or(~F.col("is_train")).alias("has_eval"),
     ).withColumn("id", F.monotonically_increasing_id()))  # written, so it stays
+    return members, classes
+
+
+def split_overlaps(comments: DataFrame, splits: DataFrame) -> DataFrame:
+    """Pairs of a train and an evaluation record that are the same or nearly: field_name, train_id, eval_id, split,
+    subreddit (both of the evaluation record), train_words, eval_words, common, train_covered, eval_covered.
+
+    Records are bodies (by comment) and titles (by post) with enough words and a known split. Equal word sequences are
+    one class. Classes that share a signature (a set of their rarest words, see Signatures) are candidates, which leaves
+    out no pair with SIMILARITY of the words in common, however they are scattered, unless lengths or word sketches rule it out. Candidates are verified on their whole
+    texts, and the spans they share merged into each record's coverage. No partner is dropped: the
+    longest signatures of many records are compared in blocks. Null and short texts are no records; with several texts a record counts by any of them.
+    """
+    scratch = Scratch(comments.sparkSession, "overlaps")
+    members, classes = records(comments, splits, scratch)
     pairs = scratch.cut(similar_words(classes, scratch).distinct())
     ids = scratch.cut(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct())
     texts = scratch.cut(lookup_join(classes.select("id", "class", "words"), ids, "id", "inner", 40))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skeinlab.llm import abuse, bpe, components, overlaps, packing, percentiles, segmentation
+from skeinlab.llm import abuse, bpe, components, overlaps, packing, percentiles, segmentation, spans
 from skeinlab.runtime import Scratch, read_table
 
 
@@ -24,6 +24,10 @@ def p4_counts(spark, d):
     return overlaps.overlap_counts(overlaps.split_overlaps(read_table(spark, d, "comments"), read_table(spark, d, "splits")))
 
 
+def p4_coverage(spark, d):
+    return spans.coverage_report(spans.coverage(read_table(spark, d, "comments"), read_table(spark, d, "splits")))
+
+
 def _abuse_scores(spark, d):
     texts = abuse.all_texts(read_table(spark, d, "comments"), read_table(spark, d, "example_thread_format"))
     return abuse.score_texts(texts, abuse.model_of(read_table(spark, d, "abuse_labels"), texts))
@@ -78,7 +82,7 @@ def p9_rebuilt(spark, d):
 
 
 def queries():
-    every = (p3_found, p3_splits, p4_found, p4_counts, p5_found, p5_scores, p5_rates, p6_percentiles, p7_ids, p7_decoded, p8_containers, p8_fill, p8_faults, p9_pieces, p9_rebuilt)
+    every = (p3_found, p3_splits, p4_found, p4_counts, p4_coverage, p5_found, p5_scores, p5_rates, p6_percentiles, p7_ids, p7_decoded, p8_containers, p8_fill, p8_faults, p9_pieces, p9_rebuilt)
     return {f.__name__: f for f in every}
 
 
