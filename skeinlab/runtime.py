@@ -49,11 +49,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables in the shared folder. They survive lost executors, and drop() frees those no longer read."""
+    """Written tables in the shared folder. They survive lost executors; drop() frees those no longer read, and
+    free_scratch() all that this process has made, once results are written elsewhere."""
+
+    made: list[str] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        Scratch.made.append(self.root)
         self.step = 0
 
     def write(self, df: DataFrame) -> str:
@@ -70,9 +74,19 @@ class Scratch:
         return self.spark.read.schema(schema).parquet(*([paths] if isinstance(paths, str) else paths))
 
     def drop(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def free_scratch(spark: SparkSession) -> None:
+    """Delete every scratch table of this process; DataFrames that still read one can't be run afterwards."""
+    while Scratch.made:
+        root = Scratch.made.pop()
+        delete(spark, root)
 
 
 def fits_broadcast(rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:

@@ -129,3 +129,17 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in R.merged_results(spark, str(tmp_path / "scores"), "thread_id string, x double").select("thread_id", "x").collect()] == [("th1", 1.5)]
     (tmp_path / "people.json").write_text('[{"user_id": 1, "username": "ann", "karma": 3}]')
     assert tuple(R.read_profiles(spark, str(tmp_path / "people.json")).first()) == (1, "ann", 3)
+
+
+def test_scratch_is_freed(spark, monkeypatch):
+    import os
+
+    from skeinlab import runtime
+
+    monkeypatch.setattr(runtime.Scratch, "made", [])
+    scratch = runtime.Scratch(spark, "freed")
+    scratch.cut(spark.range(3))
+    at = scratch.root.removeprefix("file://")
+    assert os.path.isdir(at)
+    runtime.free_scratch(spark)
+    assert not os.path.isdir(at) and runtime.Scratch.made == []
