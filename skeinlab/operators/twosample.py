@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skeinlab.functions.metrics import METRICS, SUMMARY_ID
 from skeinlab.functions.pvalues import ks_p_value, mwu_p_value
 from skeinlab.operators.prefix import order_statistics, running_totals
-from skeinlab.runtime import broadcast_if_small
+from skeinlab.runtime import Scratch, broadcast_if_small
 
 GRID_21 = [i / 20 for i in range(21)]
 GRID_5 = [0.1, 0.25, 0.5, 0.75, 0.9]
@@ -28,8 +28,8 @@ def metric_values(table: DataFrame, keys: list[str], metrics=METRICS) -> DataFra
 
 def sides(values: DataFrame, real: str = "real", side: str = "model", domain: str = "domain") -> DataFrame:
     """domain, model, metric, value, n_real, n_sim: each model's values with those of the real threads of its domain."""
-    counts = values.groupBy(domain, side, "metric", "value").agg(F.count("*").alias("n"))
-    sim = counts.where(F.col(side) != real)
+    counts = Scratch(values.sparkSession, "counts").cut(values.groupBy(domain, side, "metric", "value").agg(F.count("*").alias("n")))  # read three times below
+    sim = counts.where(F.col(side) != real)  # null sides are on neither
     models = sim.select(domain, side).distinct()
     truth = counts.where(F.col(side) == real).drop(side).join(broadcast_if_small(models), domain)
     both = sim.select(domain, side, "metric", "value", F.lit(0).cast("long").alias("n_real"), F.col("n").alias("n_sim")).unionByName(
