@@ -25,7 +25,7 @@ LABELS, BACKGROUND = 20_000, 6_000
 #: Tokens of a window, and from one window to the next; every token is in one or two windows, every run of up to 9 in one.
 WINDOW, STRIDE = 24, 16
 WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN = 8192, 8192, 16, 16
-THRESHOLD = 0.6
+THRESHOLD = 0.8
 MEMBERS, EPOCHS, BATCH = 2, 18, 64
 #: In an epoch: crops of each longer harmless text, and of unlabelled texts.
 CROPS, BACKGROUND_CROPS = 4, 2_500
